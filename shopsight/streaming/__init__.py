@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The specified workload is batch only (orders are a bounded event log rebuilt as
+a whole); it defines no stream, watermark, windowed or stateful operator, so
+none is provided here.
+"""
