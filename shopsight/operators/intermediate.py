@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopsight.functions import exact_avg
+from shopsight.functions import exact_avg, money_sum
 
 
 def int_item_totals(items: DataFrame) -> DataFrame:
@@ -24,9 +24,9 @@ def int_item_totals(items: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("item_count"),
         F.count_distinct("product_id").alias("unique_products"),
         F.count_distinct("seller_id").alias("unique_sellers"),
-        F.sum("price").alias("items_subtotal"),
-        F.sum("freight_value").alias("freight_total"),
-        F.sum("line_total").alias("items_total"),
+        money_sum("price").alias("items_subtotal"),
+        money_sum("freight_value").alias("freight_total"),
+        money_sum("line_total").alias("items_total"),
     )
 
 
@@ -39,7 +39,7 @@ def int_payment_totals(payments: DataFrame) -> DataFrame:
     return payments.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("payment_count"),
         F.max("installments").alias("max_installments"),
-        F.sum("payment_value").alias("payments_total"),
+        money_sum("payment_value").alias("payments_total"),
         F.nullif(F.array_join(F.array_sort(F.collect_set("payment_type")), ","), F.lit("")).alias("payment_types"),
     )
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopsight.functions import calendar_days, exact_sum, month_start, months_between_starts, safe_divide
+from shopsight.functions import calendar_days, exact_sum, money_sum, month_start, months_between_starts, safe_divide
 from shopsight.operators.intermediate import int_item_totals, int_payment_totals, int_review_aggregated
 from shopsight.operators.rank import global_ntile
 from shopsight.operators.staging import Staging
@@ -248,12 +248,12 @@ def rfm_base(fct: DataFrame) -> DataFrame:
     v = valid_orders(fct)
     per_order = v.groupBy("customer_unique_id", "order_id").agg(
         F.max("purchased_date").alias("last_date"),
-        F.sum("items_total").alias("monetary"),
+        money_sum("items_total").alias("monetary"),
     )
     per_person = per_order.groupBy("customer_unique_id").agg(
         F.max("last_date").alias("last_date"),
         F.count("order_id").alias("frequency"),
-        F.sum("monetary").alias("monetary"),
+        money_sum("monetary").alias("monetary"),
     )
     snapshot = per_person.agg(F.date_add(F.max("last_date"), 1).alias("as_of"))
     return per_person.crossJoin(F.broadcast(snapshot)).select(

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopsight.operators.rank import global_row_number, prefix_sums
+from shopsight.session import materialize
 
 DIGITS = 12
 METRIC_NAMES = (
@@ -58,6 +59,8 @@ def score_table(df: DataFrame, label: str = "label", score: str = "score", **ran
         F.sum(F.col(label)).cast("long").alias("pos"),
         (F.count(F.lit(1)) - F.sum(F.col(label))).cast("long").alias("neg"),
     )
+    # read by the count, the cut-point sample, the bucket totals and the ranked pass
+    grouped = materialize(grouped)
     return prefix_sums(grouped, [("score", "desc", "last")], {"pos": F.col("pos"), "neg": F.col("neg")}, **rank_opts)
 
 
@@ -91,6 +94,7 @@ def auc_metrics(df: DataFrame, label: str = "label", score: str = "score", **ran
 
 def top_fraction(df: DataFrame, frac: float, id_col: str, score: str = "score", **rank_opts) -> DataFrame:
     """rank_top_frac: rows ranked in the top ceil(n * frac) (at least 1) by score, id as tie-break."""
+    df = materialize(df)
     n = df.count()
     n_top = max(1, int(np.ceil(n * frac)))
     ranked = global_row_number(df, [(score, "desc", "last"), (id_col, "asc", "first")], "_rn", **rank_opts)
@@ -105,6 +109,7 @@ def recall_lift(
     recall = positives in the top / all positives (0 if none);
     lift = precision in the top / base rate (0 if the base rate is 0).
     """
+    df = materialize(df)
     n = df.count()
     ranked = global_row_number(df, [(score, "desc", "last"), (id_col, "asc", "first")], "_rn", **rank_opts)
     aggs = [F.sum(F.col(label)).alias("_p"), F.count(F.lit(1)).alias("_n")]
@@ -126,6 +131,7 @@ def recall_lift(
 
 def evaluate(df: DataFrame, id_col: str, label: str = "label", score: str = "score", **rank_opts) -> DataFrame:
     """All nine metrics in one row (the reference's evaluate)."""
+    df = materialize(df)
     parts = [
         counts(df, label),
         auc_metrics(df, label, score, **rank_opts),

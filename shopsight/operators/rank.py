@@ -32,6 +32,7 @@ KeySpec = tuple[str, str, str]  # (column, 'asc'|'desc', 'first'|'last')
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
 DEFAULT_MAX_BUCKETS = 1024
 SAMPLES_PER_BUCKET = 40
+MIN_ROWS_TO_SPLIT = 1000
 _SK = "_rank_sort_key"
 _BKT = "_rank_bucket"
 
@@ -88,11 +89,17 @@ class RangeBuckets:
         n_rows: int | None = None,
         rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
         max_buckets: int = DEFAULT_MAX_BUCKETS,
+        min_buckets: int | None = None,
         seed: int = 17,
     ):
         self.keys = [_norm(k) for k in keys]
         self.n_rows = stats.count() if n_rows is None else n_rows
-        n_buckets = max(1, min(max_buckets, math.ceil(self.n_rows / max(1, rows_per_bucket))))
+        if min_buckets is None:
+            min_buckets = 2 * stats.sparkSession.sparkContext.defaultParallelism
+        # Always split unless the input is tiny, so the plan has the same shape at
+        # every scale: no single-partition exchange of the ranked rows.
+        wanted = max(min_buckets, math.ceil(self.n_rows / max(1, rows_per_bucket)))
+        n_buckets = 1 if self.n_rows < MIN_ROWS_TO_SPLIT else max(1, min(max_buckets, wanted))
         keyed = stats.select(sort_key(stats, self.keys).alias(_SK))
         self.struct_type = keyed.schema[_SK].dataType
         self.cuts: list[Column] = []

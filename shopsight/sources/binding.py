@@ -7,6 +7,8 @@ Raw columns with no counterpart are typed NULLs.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +37,14 @@ TEST_TABLES = (
 )
 
 
+@lru_cache(maxsize=128)
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One scan definition per file (schema resolved once); Catalyst still prunes per use."""
+    return _read(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _null(dtype: T.DataType) -> Column:
