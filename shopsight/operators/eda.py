@@ -75,34 +75,48 @@ def late_rate(fct: DataFrame) -> DataFrame:
     )
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], **rank_opts) -> DataFrame:
-    """Exact quantiles with linear interpolation (position q * (n - 1)); one row per q.
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = (), **rank_opts) -> DataFrame:
+    """Exact quantiles with linear interpolation (position q * (n - 1)); one row per (group, q).
 
-    Distinct values with their counts are ranked by distributed prefix sums; a
-    value covers 0-based ranks [cum - cnt, cum). The q targets (a handful of
-    rows) are broadcast against the value table.
+    Distinct (group, value) pairs with their counts are ranked by distributed
+    prefix sums along (group, value); a value covers the 0-based ranks
+    [cum - cnt, cum) of its group. The q targets (a handful of rows) are
+    broadcast against the value table. No task holds all values of a group.
     """
+    from shopsight.session import materialize
+
+    by = list(by)
     spark = df.sparkSession
-    vc = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = prefix_sums(vc, [("v", "asc", "first")], {"cnt": F.col("cnt")}, **rank_opts)
+    vc = (
+        df.filter(F.col(col).isNotNull())
+        .groupBy(*by, F.col(col).alias("v"))
+        .agg(F.count(F.lit(1)).alias("cnt"))
+    )
+    vc = materialize(vc)  # read by the count, the cut-point sample, bucket totals and the ranked pass
+    keys = [(b, "asc", "first") for b in by] + [("v", "asc", "first")]
+    ranked = prefix_sums(vc, keys, {"cnt": F.col("cnt")}, **rank_opts)
+    if by:
+        groups = ranked.groupBy(*by).agg(
+            F.min(F.col("cum_cnt") - F.col("cnt")).alias("_g0"), F.sum("cnt").alias("_gn")
+        )
+        ranked = ranked.join(groups, by).withColumn("cum_cnt", F.col("cum_cnt") - F.col("_g0")).withColumn(
+            "tot_cnt", F.col("_gn")
+        )
     targets = spark.createDataFrame([(float(q),) for q in qs], "q double")
     pos = F.col("q") * (F.col("tot_cnt") - 1)
-    lo, hi = F.floor(pos), F.ceil(pos)
     start = F.col("cum_cnt") - F.col("cnt")
+    covers = lambda idx: (start <= idx) & (idx < F.col("cum_cnt"))
     hits = (
         ranked.crossJoin(F.broadcast(targets))
         .withColumn("_pos", pos)
-        .withColumn("_lo", lo)
-        .withColumn("_hi", hi)
-        .filter(
-            ((start <= F.col("_lo")) & (F.col("_lo") < F.col("cum_cnt")))
-            | ((start <= F.col("_hi")) & (F.col("_hi") < F.col("cum_cnt")))
-        )
-        .withColumn("_is_lo", (start <= F.col("_lo")) & (F.col("_lo") < F.col("cum_cnt")))
-        .withColumn("_is_hi", (start <= F.col("_hi")) & (F.col("_hi") < F.col("cum_cnt")))
+        .withColumn("_lo", F.floor(pos))
+        .withColumn("_hi", F.ceil(pos))
+        .withColumn("_is_lo", covers(F.col("_lo")))
+        .withColumn("_is_hi", covers(F.col("_hi")))
+        .filter(F.col("_is_lo") | F.col("_is_hi"))
     )
     v = F.col("v").cast("double")
-    per_q = hits.groupBy("q").agg(
+    per_q = hits.groupBy(*by, "q").agg(
         F.max(F.when(F.col("_is_lo"), v)).alias("v_lo"),
         F.max(F.when(F.col("_is_hi"), v)).alias("v_hi"),
         F.first("_pos").alias("_pos"),
@@ -110,7 +124,7 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], **rank_opts) -
     )
     frac = F.col("_pos") - F.col("_lo")
     return per_q.select(
-        "q", F.round(F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac, DIGITS).alias("value")
+        *by, "q", F.round(F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac, DIGITS).alias("value")
     )
 
 
@@ -181,26 +195,27 @@ def repeat_feature_means(first_orders: DataFrame, dim_customers: DataFrame, cols
 
 
 def describe(df: DataFrame, cols: Sequence[str], **rank_opts) -> DataFrame:
-    """count, mean, std (sample), min, 25%, 50%, 75%, max per column; exact quantiles."""
-    rows = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        moments = df.agg(
-            F.count(x).alias("count"),
-            F.round(F.avg(x), DIGITS).alias("mean"),
-            F.round(F.stddev_samp(x), DIGITS).alias("std"),
-            F.min(x).alias("min"),
-            F.max(x).alias("max"),
-        )
-        qs = exact_quantiles(df, c, (0.25, 0.5, 0.75), **rank_opts)
-        wide = qs.agg(
-            *[F.max(F.when(F.col("q") == q, F.col("value"))).alias(name) for q, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
-        )
-        rows.append(moments.crossJoin(wide).select(F.lit(c).alias("column"), "*"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    """count, mean, std (sample), min, 25%, 50%, 75%, max per column; exact quantiles.
+
+    The columns are unpivoted to (column, x) so moments and quantiles of all
+    columns come from one grouped pass each.
+    """
+    long = df.select(
+        F.explode(
+            F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols])
+        ).alias("kv")
+    ).select("kv.column", "kv.x")
+    moments = long.groupBy("column").agg(
+        F.count("x").alias("count"),
+        F.round(F.avg("x"), DIGITS).alias("mean"),
+        F.round(F.stddev_samp("x"), DIGITS).alias("std"),
+        F.min("x").alias("min"),
+        F.max("x").alias("max"),
+    )
+    named = ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))
+    qs = exact_quantiles(long, "x", [q for q, _ in named], by=["column"], **rank_opts)
+    wide = qs.groupBy("column").agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).alias(n) for q, n in named])
+    return moments.join(wide, "column")
 
 
 def rfm_describe(rfm: DataFrame, **rank_opts) -> DataFrame:

@@ -1,15 +1,275 @@
-"""Repeat-purchase propensity: preprocessing, models, scoring and importance (Spark ML)."""
+"""Repeat-purchase propensity with Spark ML: preprocessing, models, scoring, importance.
+
+Pipeline: NULL category -> explicit level; exact median imputation; standard
+scaling with the population deviation; one-hot state (unknown level -> all
+zeros); assembled vector; logistic regression or gradient-boosted trees, both
+with 'balanced' class weights. The two custom estimators are thin Spark ML
+stages whose statistics are computed by DataFrame aggregations.
+"""
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCols
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shopsight.operators import metrics
+from shopsight.operators.eda import exact_quantiles
+from shopsight.operators.rank import global_row_number, prefix_sums
+from shopsight.session import ensure_checkpoint_dir, materialize
+
+MISSING_LEVEL = "__missing__"
+MODEL_TYPES = ("logreg", "boost")
+
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """'balanced' class weights n / (2 * n_class): class counts plus a one-row total."""
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return per.crossJoin(F.broadcast(total)).select(
-        label, "n", (F.col("_total") / (2.0 * F.col("n"))).alias("weight")
+    return per.crossJoin(F.broadcast(total)).select(label, "n", (F.col("_total") / (2.0 * F.col("n"))).alias("weight"))
+
+
+def with_class_weights(df: DataFrame, label: str = "label", weight: str = "weight") -> DataFrame:
+    """Attach the balanced weight of each row's class (two classes: a broadcast of two rows)."""
+    w = class_weights(df, label).select(label, F.col("weight").alias(weight))
+    return df.join(F.broadcast(w), label)
+
+
+class _FillParams(Params):
+    fill = Param(Params._dummy(), "fill", "per-column fill values", typeConverter=TypeConverters.toListFloat)
+    center = Param(Params._dummy(), "center", "per-column centers", typeConverter=TypeConverters.toListFloat)
+    scale = Param(Params._dummy(), "scale", "per-column scales", typeConverter=TypeConverters.toListFloat)
+
+
+class MedianImputerModel(Model, HasInputCols, _FillParams, DefaultParamsReadable, DefaultParamsWritable):
+    @keyword_only
+    def __init__(self, inputCols=None, fill=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        cols = self.getInputCols()
+        fills = self.getOrDefault(self.fill)
+        return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in zip(cols, fills)})
+
+
+class MedianImputer(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """impute_median: exact medians of all input columns in one grouped quantile pass."""
+
+    @keyword_only
+    def __init__(self, inputCols=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> MedianImputerModel:
+        cols = self.getInputCols()
+        long = df.select(
+            F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("x")) for c in cols])).alias(
+                "kv"
+            )
+        ).select("kv.col", "kv.x")
+        med = {r["col"]: r["value"] for r in exact_quantiles(long, "x", [0.5], by=["col"]).collect()}  # one row per column
+        return MedianImputerModel(inputCols=cols, fill=[float(med.get(c) or 0.0) for c in cols])
+
+
+class PopulationScalerModel(Model, HasInputCols, _FillParams, DefaultParamsReadable, DefaultParamsWritable):
+    @keyword_only
+    def __init__(self, inputCols=None, center=None, scale=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        cols = self.getInputCols()
+        mus, sds = self.getOrDefault(self.center), self.getOrDefault(self.scale)
+        return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) for c, m, s in zip(cols, mus, sds)})
+
+
+class PopulationScaler(Estimator, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """scale_standard: (x - mean) / population std (a zero std leaves the column unscaled)."""
+
+    @keyword_only
+    def __init__(self, inputCols=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, df: DataFrame) -> PopulationScalerModel:
+        cols = self.getInputCols()
+        row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+        mus = [float(row[f"m{i}"] or 0.0) for i in range(len(cols))]
+        sds = [float(row[f"s{i}"]) if row[f"s{i}"] else 1.0 for i in range(len(cols))]
+        return PopulationScalerModel(inputCols=cols, center=mus, scale=sds)
+
+
+def build_pipeline(
+    model_type: str,
+    numeric: list[str],
+    categorical: list[str],
+    n_train: int | None = None,
+    label: str = "label",
+    weight: str = "weight",
+    boost_iter: int = 400,
+    seed: int = 42,
+) -> Pipeline:
+    """build_pipeline: preprocessing + classifier; unknown model type -> ValueError."""
+    if model_type not in MODEL_TYPES:
+        raise ValueError(f"Unknown model_type: {model_type!r}")
+    levels = [f"{c}__level" for c in categorical]
+    fill_sql = ", ".join(f"COALESCE({c}, '{MISSING_LEVEL}') AS {lv}" for c, lv in zip(categorical, levels))
+    stages = [SQLTransformer(statement=f"SELECT *, {fill_sql} FROM __THIS__")] if categorical else []
+    stages += [MedianImputer(inputCols=numeric), PopulationScaler(inputCols=numeric)]
+    vecs = []
+    for lv in levels:
+        stages.append(StringIndexer(inputCol=lv, outputCol=f"{lv}_idx", handleInvalid="keep", stringOrderType="alphabetAsc"))
+        stages.append(OneHotEncoder(inputCols=[f"{lv}_idx"], outputCols=[f"{lv}_vec"], dropLast=True))
+        vecs.append(f"{lv}_vec")
+    stages.append(VectorAssembler(inputCols=numeric + vecs, outputCol="features"))
+    if model_type == "logreg":
+        reg = 1.0 / n_train if n_train else 0.0
+        clf = LogisticRegression(
+            featuresCol="features", labelCol=label, weightCol=weight, maxIter=1000, regParam=reg,
+            elasticNetParam=0.0, standardization=False,
+        )
+    else:
+        clf = GBTClassifier(
+            featuresCol="features", labelCol=label, weightCol=weight, maxIter=boost_iter, stepSize=0.05,
+            maxDepth=5, maxBins=255, checkpointInterval=10, seed=seed,
+        )
+    return Pipeline(stages=stages + [clf])
+
+
+def fit_model(train: DataFrame, model_type: str, numeric, categorical, label: str = "label", **opts) -> PipelineModel:
+    """fit_logreg / fit_boost: balanced weights, materialised training frame, fitted pipeline."""
+    ensure_checkpoint_dir(train.sparkSession)
+    weighted = materialize(with_class_weights(train, label))
+    n = weighted.count()
+    return build_pipeline(model_type, list(numeric), list(categorical), n_train=n, label=label, **opts).fit(weighted)
+
+
+def score(model: PipelineModel, df: DataFrame, id_col: str) -> DataFrame:
+    """score_batch: propensity of the positive class and its fixed-width decile."""
+    p = vector_to_array(F.col("probability"))[1]
+    return model.transform(df).select(id_col, p.alias("propensity")).withColumn(
+        "decile", metrics.score_decile(F.col("propensity"))
+    )
+
+
+def perm_importance(
+    model: PipelineModel,
+    test: DataFrame,
+    features: list[str],
+    id_col: str,
+    label: str = "label",
+    n_repeats: int = 10,
+    seed: int = 42,
+    **rank_opts,
+) -> DataFrame:
+    """Mean and (population) std drop of average precision when one feature is shuffled.
+
+    All (feature, repeat) copies are built and scored in one pass. A copy pairs
+    the row at id-rank i with the value held by the row at rank i of a seeded
+    hash order; every copy has exactly n rows, so the per-copy rank is the
+    global rank minus copy_index * n (no per-copy window).
+    """
+    spark = test.sparkSession
+    base = materialize(test.select(id_col, label, *features))
+    n = base.count()
+    copies = spark.createDataFrame(
+        [(i * n_repeats + r, i, r) for i in range(len(features)) for r in range(n_repeats)], "g long, f int, rep int"
+    )
+    by_id = global_row_number(base, [(id_col, "asc", "first")], "_rid", stats=base, n_rows=n, **rank_opts)
+    expanded = materialize(by_id.crossJoin(F.broadcast(copies)))
+    hashed = expanded.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed), F.col("f"), F.col("rep")))
+    ranked = global_row_number(hashed, [("g", "asc", "first"), ("_h", "asc", "first"), (id_col, "asc", "first")], "_grn", **rank_opts)
+    num_feats = [c for c in features if dict(test.dtypes)[c] != "string"]
+
+    def pick(kind: str):
+        out = F.lit(None).cast("double" if kind == "num" else "string")
+        for i, c in enumerate(features):
+            is_num = c in num_feats
+            if (kind == "num") == is_num:
+                out = F.when(F.col("f") == i, F.col(c).cast("double" if is_num else "string")).otherwise(out)
+        return out
+
+    donors = ranked.select(
+        "g", (F.col("_grn") - F.col("g") * n).alias("_rid"), pick("num").alias("_dnum"), pick("str").alias("_dstr")
+    )
+    permuted = expanded.join(donors, ["g", "_rid"])
+    for i, c in enumerate(features):
+        donor = F.col("_dnum") if c in num_feats else F.col("_dstr")
+        permuted = permuted.withColumn(c, F.when(F.col("f") == i, donor.cast(dict(test.dtypes)[c])).otherwise(F.col(c)))
+    p = vector_to_array(F.col("probability"))[1]
+    scored = model.transform(permuted).select("g", "f", "rep", F.col(label).alias("label"), p.alias("score"))
+    ap = grouped_average_precision(scored, ["g", "f", "rep"], **rank_opts)
+    base_scores = model.transform(base).select(F.col(label).alias("label"), p.alias("score"))
+    baseline = metrics.auc_metrics(base_scores, **rank_opts).first()["pr_auc"]
+    drops = ap.withColumn("drop", F.lit(baseline) - F.col("ap"))
+    names = spark.createDataFrame(list(enumerate(features)), "f int, feature string")
+    return (
+        drops.groupBy("f")
+        .agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
+        .join(F.broadcast(names), "f")
+        .select("feature", F.round("importance_mean", 12).alias("importance_mean"), F.round("importance_std", 12).alias("importance_std"))
+        .orderBy(F.col("importance_mean").desc(), "feature")
+    )
+
+
+def grouped_average_precision(scored: DataFrame, by: list[str], **rank_opts) -> DataFrame:
+    """Average precision per group, from running sums along (group, score desc)."""
+    grouped = materialize(
+        scored.groupBy(*by, "score").agg(
+            F.sum("label").cast("long").alias("pos"), (F.count(F.lit(1)) - F.sum("label")).cast("long").alias("neg")
+        )
     )
+    keys = [(b, "asc", "first") for b in by] + [("score", "desc", "last")]
+    run = prefix_sums(grouped, keys, {"pos": F.col("pos"), "neg": F.col("neg")}, **rank_opts)
+    starts = run.groupBy(*by).agg(
+        F.min(F.col("cum_pos") - F.col("pos")).alias("_p0"),
+        F.min(F.col("cum_neg") - F.col("neg")).alias("_n0"),
+        F.sum("pos").alias("_P"),
+    )
+    local = run.join(starts, by).select(
+        *by, "pos", (F.col("cum_pos") - F.col("_p0")).alias("cp"), (F.col("cum_neg") - F.col("_n0")).alias("cn"), "_P"
+    )
+    term = (F.col("pos") / F.col("_P")) * (F.col("cp") / (F.col("cp") + F.col("cn")))
+    return local.groupBy(*by).agg(F.round(F.sum(F.when(F.col("pos") > 0, term)), 12).alias("ap"))
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """sink_model: Spark ML persistence (overwrite)."""
+    model.write().overwrite().save(path)
+
+
+def metadata_frame(spark, meta: dict) -> DataFrame:
+    """One-row frame holding the run metadata as JSON (written next to the models)."""
+    return spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string")
+
+
+def default_model(meta_df: DataFrame) -> str:
+    """model_default: the model name recorded in the metadata (logreg if absent)."""
+    meta = json.loads(meta_df.first()["meta"])
+    return meta.get("default_model", "logreg")
+
+
+def model_metrics_view(meta_df: DataFrame) -> DataFrame:
+    """Flatten stored metrics into (model, metric, value) rows plus the base rate and default model."""
+    meta = json.loads(meta_df.first()["meta"])
+    spark = meta_df.sparkSession
+    rows = [(m, k, float(v)) for m, d in meta.get("metrics_test", {}).items() for k, v in d.items()]
+    df = spark.createDataFrame(rows, "model string, metric string, value double")
+    return df.withColumn("default_model", F.lit(meta.get("default_model", "logreg"))).withColumn(
+        "horizon_days", F.lit(int(meta.get("horizon_days", 0)))
+    )
+
+
+def std_pop(values) -> float:
+    return float(np.std(np.asarray(values, dtype=float)))
