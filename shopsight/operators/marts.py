@@ -239,22 +239,31 @@ def customer_cohorts(fct: DataFrame) -> DataFrame:
     )
 
 
-def rfm_base(fct: DataFrame) -> DataFrame:
-    """Per person: recency (days to the day after the last valid purchase), frequency, monetary.
+def rfm_per_person(fct: DataFrame) -> DataFrame:
+    """Per person over valid orders: last purchase date, distinct orders, money spent.
 
-    Frequency is a distinct order count in two levels; the snapshot date is one
-    row computed from the per-person maxima and joined by broadcast (1 row).
+    The distinct order count is planned in two levels: (person, order) first,
+    which spreads a person with very many orders over tasks, then per person
+    with map-side merge.
     """
     v = valid_orders(fct)
     per_order = v.groupBy("customer_unique_id", "order_id").agg(
         F.max("purchased_date").alias("last_date"),
         money_sum("items_total").alias("monetary"),
     )
-    per_person = per_order.groupBy("customer_unique_id").agg(
+    return per_order.groupBy("customer_unique_id").agg(
         F.max("last_date").alias("last_date"),
         F.count("order_id").alias("frequency"),
         money_sum("monetary").alias("monetary"),
     )
+
+
+def rfm_recency(per_person: DataFrame) -> DataFrame:
+    """recency_days = days from the last purchase to the day after the overall last purchase.
+
+    The snapshot date is one row (a global max over the per-person maxima),
+    joined by broadcast: a one-row side is a proven bound.
+    """
     snapshot = per_person.agg(F.date_add(F.max("last_date"), 1).alias("as_of"))
     return per_person.crossJoin(F.broadcast(snapshot)).select(
         "customer_unique_id",
@@ -264,6 +273,11 @@ def rfm_base(fct: DataFrame) -> DataFrame:
     )
 
 
+def rfm_base(fct: DataFrame) -> DataFrame:
+    """Per person: recency, frequency, monetary."""
+    return rfm_recency(rfm_per_person(fct))
+
+
 def rfm_label(r, f, m):
     return (
         F.when((r >= 4) & (f >= 4) & (m >= 4), RFM_LABELS[0])
@@ -282,11 +296,14 @@ def customer_rfm(fct: DataFrame, materialize_input: bool = True, **rank_opts) ->
     ``ntile().over(Window.orderBy(..))`` would run on one partition; the
     distributed ``global_ntile`` ranks range buckets in parallel instead.
     """
-    base = rfm_base(fct)
     if materialize_input:
         from shopsight.session import materialize
 
-        base = materialize(base)
+        # written once: read by the snapshot, the count, three cut-point samples
+        # and three bucket-count passes
+        base = materialize(rfm_recency(materialize(rfm_per_person(fct))))
+    else:
+        base = rfm_base(fct)
     uid = ("customer_unique_id", "asc", "first")
     # cut points and bucket counts of all three orders come from the base frame
     n_rows = base.count()

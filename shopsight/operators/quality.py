@@ -9,7 +9,7 @@ outside the list. The result is one row per check: (check_id, model, test,
 columns, severity, failures, status).
 
 All NULL counts of one table are a single aggregate pass; key checks are hash
-aggregates and anti joins. The checked tables are materialised once each.
+aggregates and anti joins. Each checked table is written once per run.
 """
 
 from __future__ import annotations
@@ -102,6 +102,12 @@ CHECKS: list[Check] = [
 ]
 
 
+def _is_materialized(df: DataFrame) -> bool:
+    """True when the frame already reads stored data (a checkpoint or a file scan)."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return plan.children().isEmpty() or plan.getClass().getSimpleName() == "LogicalRDD"
+
+
 def _failures(check: Check, tables: dict[str, DataFrame]) -> DataFrame:
     """One-row frame with the failure count of a key-type check."""
     t = tables[check.model]
@@ -131,10 +137,12 @@ def run_checks(tables: dict[str, DataFrame], checks: list[Check] | None = None,
     checks = checks if checks is not None else CHECKS
     spark = next(iter(tables.values())).sparkSession
     if materialize:
+        # Each checked table feeds several checks: write the ones that are not
+        # stored yet once, so no check recomputes a table's lineage.
         from shopsight.session import materialize as _mat
 
         used = {c.model for c in checks} | {c.to_model for c in checks if c.to_model}
-        tables = {k: (_mat(v) if k in used else v) for k, v in tables.items()}
+        tables = {k: (v if _is_materialized(v) or k not in used else _mat(v)) for k, v in tables.items()}
     parts: list[DataFrame] = []
     # all NULL counts of a table in one pass
     by_model: dict[str, list[Check]] = {}

@@ -536,7 +536,7 @@ def q_score_contract(spark, sf):
 
 
 def _dq_tables(spark, sf) -> dict[str, DataFrame]:
-    w = wh(spark, sf)
+    w = wh(spark, sf).materialized()
     s = w.stg
     return {
         "stg_customers": s.customers,

@@ -43,6 +43,18 @@ class Warehouse:
     def dim_products(self) -> DataFrame:
         return marts.dim_products(self.stg)
 
+    def materialized(self) -> Warehouse:
+        """A copy whose order fact is written once (staging stays lazy, like views).
+
+        The analytic marts then start from the stored fact instead of
+        recomputing the raw joins for every consumer, as a scheduled build would.
+        """
+        from shopsight.session import materialize
+
+        out = Warehouse(self.raw, self.spark)
+        out.__dict__["fct_orders"] = materialize(self.fct_orders)
+        return out
+
     def monthly_revenue(self) -> DataFrame:
         return marts.monthly_revenue(self.fct_orders)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,11 +64,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the session's checkpoint folder.
+    """Cut lineage: write the frame once as Parquet under the session's checkpoint folder.
 
     Used where one frame feeds several passes (cut-point sampling, counts and
-    the ranked pass of a global ntile; iterative ML). A reliable checkpoint
-    survives executor loss, unlike a local checkpoint.
+    the ranked pass of a global ntile; warehouse layers read by many marts and
+    checks; iterative ML). The folder is the shared, reliable
+    ``spark.checkpoint.dir``, so the result survives executor loss. A written
+    table is one job (an RDD checkpoint computes its plan a second time unless
+    cached) and later reads get column pruning and filter pushdown.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{root}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
