@@ -79,7 +79,12 @@ def build(wh: Warehouse, out_dir: str, export_csv_dir: str | None = None) -> dic
     """
     counts: dict[str, int] = {}
     fct_path = os.path.join(out_dir, "fct_orders")
-    counts["fct_orders"] = write_table(wh.fct_orders, fct_path, partition_by=["purchased_month"])
+    # Range-partition on (month, order) before the month-partitioned write: each
+    # task holds a contiguous key range and writes one or two month folders,
+    # so files ~ tasks (not tasks x months), and no month lands in one task.
+    n_parts = int(wh.spark.conf.get("spark.sql.shuffle.partitions"))
+    fct = wh.fct_orders.repartitionByRange(n_parts, "purchased_month", "order_id")
+    counts["fct_orders"] = write_table(fct, fct_path, partition_by=["purchased_month"])
     stored = Warehouse(wh.raw, wh.spark)
     stored.__dict__["fct_orders"] = wh.spark.read.parquet(fct_path)
     frames = {

@@ -43,6 +43,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
+def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 * 1024**2) -> dict[str, str]:
+    """Suggested shuffle settings for a cluster run over ``input_bytes`` of input.
+
+    The initial shuffle width keeps a partition near ``partition_bytes`` of
+    input (at least 3 waves of the cluster's cores), and AQE coalesces small
+    partitions back to its advisory size and splits skewed join partitions.
+    """
+    parts = max(3 * total_cores, input_bytes // partition_bytes)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024**2),
+        "spark.sql.files.maxPartitionBytes": str(256 * 1024**2),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 * 1024**2),
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder; set a local one only if unset.
 
