@@ -92,7 +92,13 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """sink_csv: overwrite a CSV export with header (idempotent)."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).csv(path)
+    (
+        out.write.mode("overwrite")
+        .option("header", True)
+        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+        .option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
+        .csv(path)
+    )
 
 
 def read_mart(spark: SparkSession, name: str, folder: str, source: str = "parquet") -> DataFrame:
