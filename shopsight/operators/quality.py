@@ -139,10 +139,11 @@ def run_checks(tables: dict[str, DataFrame], checks: list[Check] | None = None,
     if materialize:
         # Each checked table feeds several checks: write the ones that are not
         # stored yet once, so no check recomputes a table's lineage.
-        from shopsight.session import materialize as _mat
+        from shopsight.session import materialize_many
 
         used = {c.model for c in checks} | {c.to_model for c in checks if c.to_model}
-        tables = {k: (v if _is_materialized(v) or k not in used else _mat(v)) for k, v in tables.items()}
+        todo = {k: v for k, v in tables.items() if k in used and not _is_materialized(v)}
+        tables = {**tables, **materialize_many(todo)}
     parts: list[DataFrame] = []
     # all NULL counts of a table in one pass
     by_model: dict[str, list[Check]] = {}

@@ -9,6 +9,7 @@ the analytic marts are built from the written table, not from its lineage.
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,8 +97,12 @@ def build(wh: Warehouse, out_dir: str, export_csv_dir: str | None = None) -> dic
         "customer_cohorts": stored.customer_cohorts(),
         "customer_rfm": stored.customer_rfm(),
     }
-    for name, df in frames.items():
-        counts[name] = write_table(marts.to_output(df), os.path.join(out_dir, name))
+    # the seven marts are independent once the fact is stored: submit their writes together
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        futures = {
+            name: pool.submit(write_table, marts.to_output(df), os.path.join(out_dir, name)) for name, df in frames.items()
+        }
+        counts.update({name: f.result() for name, f in futures.items()})
     if export_csv_dir:
         for name in EXPORT_MARTS:
             df = wh.spark.read.parquet(os.path.join(out_dir, name))

@@ -96,3 +96,18 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{root}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def materialize_many(frames: dict[str, DataFrame], parallel: int = 4) -> dict[str, DataFrame]:
+    """Write several independent frames at once (concurrent jobs share the cluster).
+
+    Small writes leave most task slots idle; submitting them from a few driver
+    threads lets the scheduler run their stages side by side.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    if not frames:
+        return {}
+    with ThreadPoolExecutor(max_workers=max(1, min(parallel, len(frames)))) as pool:
+        futures = {k: pool.submit(materialize, v) for k, v in frames.items()}
+        return {k: f.result() for k, f in futures.items()}
