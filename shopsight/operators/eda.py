@@ -80,13 +80,12 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
 
     Distinct (group, value) pairs with their counts are ranked by distributed
     prefix sums along (group, value); a value covers the 0-based ranks
-    [cum - cnt, cum) of its group. The q targets (a handful of rows) are
-    broadcast against the value table. No task holds all values of a group.
+    [cum - cnt, cum) of its group. Each value row is checked against the few
+    q targets in place. No task holds all values of a group.
     """
     from shopsight.session import materialize
 
     by = list(by)
-    spark = df.sparkSession
     vc = (
         df.filter(F.col(col).isNotNull())
         .groupBy(*by, F.col(col).alias("v"))
@@ -102,12 +101,11 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
         ranked = ranked.join(groups, by).withColumn("cum_cnt", F.col("cum_cnt") - F.col("_g0")).withColumn(
             "tot_cnt", F.col("_gn")
         )
-    targets = spark.createDataFrame([(float(q),) for q in qs], "q double")
     pos = F.col("q") * (F.col("tot_cnt") - 1)
     start = F.col("cum_cnt") - F.col("cnt")
     covers = lambda idx: (start <= idx) & (idx < F.col("cum_cnt"))
     hits = (
-        ranked.crossJoin(F.broadcast(targets))
+        ranked.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
         .withColumn("_pos", pos)
         .withColumn("_lo", F.floor(pos))
         .withColumn("_hi", F.ceil(pos))
@@ -141,23 +139,22 @@ def histogram(df: DataFrame, col: str, bins: int, upper: float | None = None) ->
     spark: SparkSession = df.sparkSession
     x = clip(F.col(col), hi=upper).cast("double") if upper is not None else F.col(col).cast("double")
     vals = df.filter(F.col(col).isNotNull()).select(x.alias("x"))
-    rng = vals.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    idx = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
-        F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))
-    )
-    counted = vals.crossJoin(F.broadcast(rng)).groupBy(idx.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    all_bins = spark.range(bins).select(F.col("id").cast("int").alias("bin")).crossJoin(F.broadcast(rng))
+    # the value range is one scalar subquery (min and max in one pass), reused
+    rng = vals.select(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
+    lo, hi = rng.getField("lo"), rng.getField("hi")
+    width = (hi - lo) / bins
+    idx = F.when(hi == lo, F.lit(0)).otherwise(F.least(F.floor((F.col("x") - lo) / width), F.lit(bins - 1)))
+    counted = vals.groupBy(idx.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    all_bins = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     return (
         all_bins.join(counted, "bin", "left")
         .select(
             "bin",
-            (F.col("lo") + F.col("bin") * width).alias("bin_left"),
-            F.when(F.col("bin") == bins - 1, F.col("hi"))
-            .otherwise(F.col("lo") + (F.col("bin") + 1) * width)
-            .alias("bin_right"),
+            (lo + F.col("bin") * width).alias("bin_left"),
+            F.when(F.col("bin") == bins - 1, hi).otherwise(lo + (F.col("bin") + 1) * width).alias("bin_right"),
             F.coalesce(F.col("n"), F.lit(0)).alias("n"),
         )
+        .where(lo.isNotNull())
     )
 
 

@@ -113,24 +113,15 @@ def add_repeat_target(features: DataFrame, fct: DataFrame, horizon_days: int = 1
 def observable(features: DataFrame, fct: DataFrame, horizon_days: int = 180) -> DataFrame:
     """flt_observable: keep persons whose first order is at least H days before the data end.
 
-    The data end is one row (a global max with map-side partial max), joined by
-    broadcast: a one-row side is a proven bound.
+    The bound is a scalar subquery (a global max with map-side partial max).
     """
-    end = fct.agg(F.max("purchased_at").alias("dataset_end")).select(
-        (F.col("dataset_end") - F.make_dt_interval(F.lit(horizon_days))).alias("last_observable")
-    )
-    return (
-        features.crossJoin(F.broadcast(end))
-        .filter(F.col("first_order_at") <= F.col("last_observable"))
-        .drop("last_observable")
-    )
+    last = fct.select(F.max("purchased_at") - F.make_dt_interval(F.lit(horizon_days))).scalar()
+    return features.filter(F.col("first_order_at") <= last)
 
 
-def last_observable_date(fct: DataFrame, horizon_days: int = 180) -> DataFrame:
-    """One row: the calendar date of (data end - H days), used as eval_end."""
-    return fct.agg(
-        F.to_date(F.max("purchased_at") - F.make_dt_interval(F.lit(horizon_days))).alias("eval_end")
-    )
+def last_observable_date(fct: DataFrame, horizon_days: int = 180) -> Column:
+    """Scalar: the calendar date of (data end - H days), used as eval_end."""
+    return fct.select(F.to_date(F.max("purchased_at") - F.make_dt_interval(F.lit(horizon_days)))).scalar()
 
 
 def split_label(date_col: str, train_end, eval_end=None) -> Column:
@@ -162,9 +153,4 @@ def propensity_frame(fct: DataFrame, horizon_days: int, train_end: str, strict:
     """Features + label, observability filter and a split column (eval_end = last observable date)."""
     feats = add_repeat_target(first_order_features(fct, strict=strict), fct, horizon_days)
     obs = observable(feats, fct, horizon_days)
-    bound = last_observable_date(fct, horizon_days)
-    return (
-        obs.crossJoin(F.broadcast(bound))
-        .withColumn("split", split_label("first_order_at", train_end, F.col("eval_end")))
-        .drop("eval_end")
-    )
+    return obs.withColumn("split", split_label("first_order_at", train_end, last_observable_date(fct, horizon_days)))

@@ -261,13 +261,13 @@ def rfm_per_person(fct: DataFrame) -> DataFrame:
 def rfm_recency(per_person: DataFrame) -> DataFrame:
     """recency_days = days from the last purchase to the day after the overall last purchase.
 
-    The snapshot date is one row (a global max over the per-person maxima),
-    joined by broadcast: a one-row side is a proven bound.
+    The snapshot date is a scalar subquery (a global max over the per-person
+    maxima, map-side partial max), evaluated once.
     """
-    snapshot = per_person.agg(F.date_add(F.max("last_date"), 1).alias("as_of"))
-    return per_person.crossJoin(F.broadcast(snapshot)).select(
+    as_of = per_person.select(F.date_add(F.max("last_date"), 1)).scalar()
+    return per_person.select(
         "customer_unique_id",
-        calendar_days("as_of", "last_date").alias("recency_days"),
+        calendar_days(as_of, "last_date").alias("recency_days"),
         "frequency",
         F.col("monetary").cast(T.DoubleType()).alias("monetary"),
     )

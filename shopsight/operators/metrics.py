@@ -138,9 +138,11 @@ def evaluate(df: DataFrame, id_col: str, label: str = "label", score: str = "sco
         brier(df, label, score),
         recall_lift(df, id_col, label, score, **rank_opts),
     ]
+    # one-row frames: the later three are scalar subqueries (structs) on the first
     row = parts[0]
     for p in parts[1:]:
-        row = row.crossJoin(p)  # one-row frames
+        s = p.select(F.struct(*p.columns)).scalar()
+        row = row.select("*", *[s.getField(c).alias(c) for c in p.columns])
     return row.select(*METRIC_NAMES)
 
 

@@ -35,8 +35,8 @@ MODEL_TYPES = ("logreg", "boost")
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """'balanced' class weights n / (2 * n_class): class counts plus a one-row total."""
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return per.crossJoin(F.broadcast(total)).select(label, "n", (F.col("_total") / (2.0 * F.col("n"))).alias("weight"))
+    total = df.select(F.count(F.lit(1))).scalar()  # scalar subquery, computed once
+    return per.select(label, "n", (total / (2.0 * F.col("n"))).alias("weight"))
 
 
 def with_class_weights(df: DataFrame, label: str = "label", weight: str = "weight") -> DataFrame:
@@ -183,11 +183,16 @@ def perm_importance(
     spark = test.sparkSession
     base = materialize(test.select(id_col, label, *features))
     n = base.count()
-    copies = spark.createDataFrame(
-        [(i * n_repeats + r, i, r) for i in range(len(features)) for r in range(n_repeats)], "g long, f int, rep int"
+    copies = F.array(
+        *[
+            F.struct(F.lit(i * n_repeats + r).cast("long").alias("g"), F.lit(i).alias("f"), F.lit(r).alias("rep"))
+            for i in range(len(features))
+            for r in range(n_repeats)
+        ]
     )
     by_id = global_row_number(base, [(id_col, "asc", "first")], "_rid", stats=base, n_rows=n, **rank_opts)
-    expanded = materialize(by_id.crossJoin(F.broadcast(copies)))
+    # one copy of every row per (feature, repeat): generated in place, no join
+    expanded = materialize(by_id.withColumn("_c", F.explode(copies)).select("*", "_c.g", "_c.f", "_c.rep").drop("_c"))
     hashed = expanded.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed), F.col("f"), F.col("rep")))
     ranked = global_row_number(hashed, [("g", "asc", "first"), ("_h", "asc", "first"), (id_col, "asc", "first")], "_grn", **rank_opts)
     num_feats = [c for c in features if dict(test.dtypes)[c] != "string"]

@@ -32,7 +32,7 @@ def rfm_log_scale(rfm: DataFrame) -> DataFrame:
     """Drop rows missing R/F/M; recency, log1p(frequency), log1p(monetary), standardised.
 
     Standardisation uses the population standard deviation (a zero deviation
-    leaves the column unscaled); the statistics are one row, broadcast.
+    leaves the column unscaled); the statistics are one scalar subquery.
     """
     base = rfm.na.drop(subset=RFM_COLS).select(
         PERSON,
@@ -40,17 +40,18 @@ def rfm_log_scale(rfm: DataFrame) -> DataFrame:
         F.log1p(F.col("frequency").cast("double")).alias("f"),
         F.log1p(F.col("monetary").cast("double")).alias("m"),
     )
-    stats = base.agg(
-        *[F.avg(c).alias(f"mu_{c}") for c in "rfm"],
-        *[F.stddev_pop(c).alias(f"sd_{c}") for c in "rfm"],
-    )
-    out = base.crossJoin(F.broadcast(stats))
+    stats = base.select(
+        F.struct(
+            *[F.avg(c).alias(f"mu_{c}") for c in "rfm"],
+            *[F.stddev_pop(c).alias(f"sd_{c}") for c in "rfm"],
+        )
+    ).scalar()  # one scalar subquery (six moments in one pass), reused
     cols = []
     for c, name in zip("rfm", SCALED):
-        sd = F.col(f"sd_{c}")
+        sd = stats.getField(f"sd_{c}")
         scale = F.when(sd > 0, sd).otherwise(F.lit(1.0))
-        cols.append(F.round((F.col(c) - F.col(f"mu_{c}")) / scale, DIGITS).alias(name))
-    return out.select(PERSON, *cols)
+        cols.append(F.round((F.col(c) - stats.getField(f"mu_{c}")) / scale, DIGITS).alias(name))
+    return base.select(PERSON, *cols)
 
 
 def _vectors(scaled: DataFrame) -> DataFrame:
