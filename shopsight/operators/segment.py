@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
@@ -59,13 +60,21 @@ def _vectors(scaled: DataFrame) -> DataFrame:
 
 
 def fit_kmeans(vectors: DataFrame, k: int, n_init: int = 10, seed: int = 42, max_iter: int = 300):
-    """Best of ``n_init`` KMeans fits (distinct seeds) by training cost (inertia)."""
+    """Best of ``n_init`` KMeans fits (distinct seeds) by training cost (inertia).
+
+    The (stored) vectors are cached for the restarts: every fit makes many
+    passes, and a lost cached block is re-read from the stored frame.
+    """
+    cached = vectors.persist(StorageLevel.MEMORY_AND_DISK)
     best = None
-    for i in range(n_init):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=1e-4, featuresCol="features").fit(vectors)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (model, cost)
+    try:
+        for i in range(n_init):
+            model = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=1e-4, featuresCol="features").fit(cached)
+            cost = model.summary.trainingCost
+            if best is None or cost < best[1]:
+                best = (model, cost)
+    finally:
+        cached.unpersist()
     return best
 
 
