@@ -20,9 +20,10 @@ from shopsight.operators.rank import prefix_sums
 DIGITS = 12
 
 
-def nunique(df: DataFrame, col: str) -> DataFrame:
-    """agg_nunique: distinct non-NULL values (exact; approx_count_distinct is the opt-in)."""
-    return df.agg(F.count_distinct(col).alias(f"nunique_{col}"))
+def nunique(df: DataFrame, col: str, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """agg_nunique: distinct non-NULL values; exact by default, HyperLogLog++ as an opt-in."""
+    agg = F.approx_count_distinct(col, rsd) if approx else F.count_distinct(col)
+    return df.agg(agg.alias(f"nunique_{col}"))
 
 
 def repeat_rate(dim_customers: DataFrame) -> DataFrame:
@@ -126,7 +127,18 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
     )
 
 
-def delivery_quantiles(fct: DataFrame, qs: Sequence[float] = (0.5, 0.9), **rank_opts) -> DataFrame:
+def approx_quantiles(df: DataFrame, col: str, qs: Sequence[float], accuracy: int = 10_000) -> DataFrame:
+    """Opt-in: Greenwald-Khanna sketch quantiles (one pass, mergeable), not interpolated."""
+    est = df.agg(F.percentile_approx(F.col(col).cast("double"), list(qs), accuracy).alias("v"))
+    return est.select(F.posexplode("v").alias("i", "value")).select(
+        F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("i") + 1).alias("q"), "value"
+    )
+
+
+def delivery_quantiles(fct: DataFrame, qs: Sequence[float] = (0.5, 0.9), approx: bool = False, **rank_opts) -> DataFrame:
+    """Median and P90 of delivery days: exact (linear interpolation) or the sketch opt-in."""
+    if approx:
+        return approx_quantiles(delivered(fct), "delivery_days", qs)
     return exact_quantiles(delivered(fct), "delivery_days", qs, **rank_opts)
 
 
