@@ -299,8 +299,8 @@ def customer_rfm(fct: DataFrame, materialize_input: bool = True, **rank_opts) ->
     if materialize_input:
         from shopsight.session import materialize
 
-        # written once: read by the snapshot, the count, three cut-point samples
-        # and three bucket-count passes
+        # written once: read by the count, three cut-point samples, three
+        # bucket-count passes and the ranked passes
         base = materialize(rfm_recency(materialize(rfm_per_person(fct))))
     else:
         base = rfm_base(fct)

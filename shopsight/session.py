@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -91,11 +92,18 @@ def materialize(df: DataFrame) -> DataFrame:
     table is one job (an RDD checkpoint computes its plan a second time unless
     cached) and later reads get column pruning and filter pushdown.
     """
+    if df in _STORED:
+        return df  # already a stored table: writing it again would only copy it
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    stored = spark.read.parquet(path)
+    _STORED.add(stored)
+    return stored
+
+
+_STORED: weakref.WeakSet = weakref.WeakSet()
 
 
 def materialize_many(frames: dict[str, DataFrame], parallel: int = 4) -> dict[str, DataFrame]:
