@@ -18,8 +18,12 @@ def _c(c: ColumnOrName) -> Column:
 
 
 def whole_days(start: ColumnOrName, end: ColumnOrName) -> Column:
-    """timestamp_diff(end, start, day): whole 24-hour units, truncated toward zero."""
-    return F.timestamp_diff("DAY", _c(start), _c(end))
+    """timestamp_diff(end, start, day): whole 24-hour units, truncated toward zero.
+
+    Taken from the day-time interval ``end - start`` of two timestamp_ntz
+    values, so the result does not depend on the session time zone.
+    """
+    return F.extract(F.lit("DAY"), _c(end) - _c(start)).cast(T.LongType())
 
 
 def calendar_days(end: ColumnOrName, start: ColumnOrName) -> Column:

@@ -163,7 +163,7 @@ def evaluate_table(results: dict[str, DataFrame]) -> DataFrame:
     return out.groupBy("metric").pivot("model", list(results)).agg(F.first(F.bround("value", 4)))
 
 
-# sklearn's uniform calibration bins: the 9 inner edges of linspace(0, 1, 11)
+# uniform calibration bins: the 9 inner edges of linspace(0, 1, 11)
 CALIBRATION_EDGES = [float(x) for x in np.linspace(0.0, 1.0, 11)[1:-1]]
 
 
