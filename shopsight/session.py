@@ -106,7 +106,7 @@ def materialize(df: DataFrame) -> DataFrame:
 _STORED: weakref.WeakSet = weakref.WeakSet()
 
 
-def materialize_many(frames: dict[str, DataFrame], parallel: int = 4) -> dict[str, DataFrame]:
+def materialize_many(frames: dict[str, DataFrame], parallel: int = 8) -> dict[str, DataFrame]:
     """Write several independent frames at once (concurrent jobs share the cluster).
 
     Small writes leave most task slots idle; submitting them from a few driver
