@@ -214,10 +214,13 @@ def describe(df: DataFrame, cols: Sequence[str], **rank_opts) -> DataFrame:
             F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols])
         ).alias("kv")
     ).select("kv.column", "kv.x")
+    # the mean from an exact decimal sum (order-free); the deviation is a float
+    # reduction, rounded to 4 decimals so partition order cannot show
+    exact = F.col("x").cast(T.DecimalType(38, 6))
     moments = long.groupBy("column").agg(
         F.count("x").alias("count"),
-        F.round(F.avg("x"), DIGITS).alias("mean"),
-        F.round(F.stddev_samp("x"), DIGITS).alias("std"),
+        F.try_divide(F.sum(exact).cast("double"), F.count("x").cast("double")).alias("mean"),
+        F.round(F.stddev_samp("x"), 4).alias("std"),
         F.min("x").alias("min"),
         F.max("x").alias("max"),
     )

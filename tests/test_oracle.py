@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as E
-from compare import digest
+from compare import digest, duck_frame, spark_frame
 from conftest import SF_SMALL
 
 ORACLE = E.oracle_sql()
@@ -24,8 +24,8 @@ def test_entry_runs(spark):
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_duckdb(spark, duck, name):
-    got = QUERIES[name](spark, SF_SMALL).toPandas()
-    want = duck.execute(ORACLE[name]).df()
+    got = spark_frame(QUERIES[name](spark, SF_SMALL))
+    want = duck_frame(duck, ORACLE[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want)
     assert digest(got) == digest(want)
