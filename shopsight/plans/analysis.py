@@ -417,7 +417,7 @@ def q_flt_dropna(spark, sf):
 @register(
     "delivery_quantiles",
     " UNION ALL ".join(
-        f"SELECT {q} AS q, ROUND(quantile_cont(delivery_days, {q}), 12) AS value FROM fct_orders"
+        f"SELECT CAST({q} AS DOUBLE) AS q, ROUND(quantile_cont(delivery_days, {q}), 12) AS value FROM fct_orders"
         " WHERE delivery_days IS NOT NULL AND delivery_days >= 0"
         for q in (0.5, 0.9)
     ),
@@ -520,7 +520,7 @@ def q_kpi_summary(spark, sf):
 
 @register(
     "category_top",
-    "SELECT category, SUM(orders) AS orders, ROUND(SUM(items_revenue), 2) AS items_revenue,"
+    "SELECT category, CAST(SUM(orders) AS BIGINT) AS orders, ROUND(SUM(items_revenue), 2) AS items_revenue,"
     " ROUND(SUM(freight_revenue), 2) AS freight_revenue, MAX(unique_products_sold) AS unique_products_sold"
     " FROM category_performance GROUP BY category ORDER BY items_revenue DESC, category LIMIT 20",
 )
