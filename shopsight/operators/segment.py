@@ -11,6 +11,7 @@ distances per cluster with numpy, so no pair is ever materialised as a row.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -66,16 +67,19 @@ def fit_kmeans(vectors: DataFrame, k: int, n_init: int = 10, seed: int = 42, max
     passes, and a lost cached block is re-read from the stored frame.
     """
     cached = vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    best = None
+
+    def one(i: int):
+        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=1e-4, featuresCol="features").fit(cached)
+        return model, model.summary.trainingCost
+
     try:
-        for i in range(n_init):
-            model = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=1e-4, featuresCol="features").fit(cached)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[1]:
-                best = (model, cost)
+        # restarts are independent jobs: submit a few at once to share the cluster
+        with ThreadPoolExecutor(max_workers=min(4, n_init)) as pool:
+            fits = list(pool.map(one, range(n_init)))
     finally:
         cached.unpersist()
-    return best
+    # lowest cost wins; ties go to the earliest seed
+    return min(fits, key=lambda mc: mc[1])
 
 
 def sample_fixed(df: DataFrame, n: int, seed: int = 42, id_col: str = PERSON) -> DataFrame:
