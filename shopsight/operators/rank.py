@@ -67,16 +67,40 @@ def _struct_literal(row, struct_type: T.StructType) -> Column:
     return F.struct(*[F.lit(row[i]).cast(f.dataType).alias(f.name) for i, f in enumerate(struct_type.fields)])
 
 
+CASE_TREE_MAX_CUTS = 64
+
+
 def _bucket_of(key: Column, cuts: list[Column]) -> Column:
-    """Number of cut points strictly below ``key`` (binary search, depth log2 P)."""
+    """Number of cut points strictly below ``key``: a binary search, log2 P comparisons.
 
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key > cuts[mid], build(mid + 1, hi)).otherwise(build(lo, mid))
+    Up to 64 cut points the search is a nested CASE (compiled by whole-stage
+    codegen). Beyond that a nested CASE would outgrow a generated method, so
+    the search runs over one literal array with ``aggregate`` (a fixed number
+    of halving steps).
+    """
+    if len(cuts) <= CASE_TREE_MAX_CUTS:
+
+        def build(lo: int, hi: int) -> Column:
+            if lo == hi:
+                return F.lit(lo)
+            mid = (lo + hi) // 2
+            return F.when(key > cuts[mid], build(mid + 1, hi)).otherwise(build(lo, mid))
+
+        return build(0, len(cuts))
+    arr = F.array(*cuts)
+    steps = math.ceil(math.log2(len(cuts) + 1)) + 1
+
+    def step(acc: Column, _i: Column) -> Column:
+        lo, hi = acc.getField("lo"), acc.getField("hi")
+        mid = F.floor((lo + hi) / 2).cast("int")
+        below = key > F.element_at(arr, mid + 1)
+        nxt = F.when(below, F.struct((mid + 1).alias("lo"), hi.alias("hi"))).otherwise(
+            F.struct(lo.alias("lo"), mid.alias("hi"))
+        )
+        return F.when(lo < hi, nxt).otherwise(acc)
 
-    return build(0, len(cuts))
+    init = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step).getField("lo")
 
 
 class RangeBuckets:

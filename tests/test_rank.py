@@ -55,3 +55,11 @@ def test_no_single_partition_exchange_of_rows(spark):
     plan = global_ntile(df, 5, [("v", "asc", "first"), ("id", "asc", "first")], "t", **SMALL)._jdf.queryExecution().executedPlan().toString()
     # the only single-partition step is over the per-bucket counts (P rows)
     assert "hashpartitioning(_rank_bucket" in plan
+
+
+def test_many_buckets_use_array_search(spark):
+    df = _frame(spark, 3000, seed=11)
+    keys = [("v", "desc", "last"), ("id", "asc", "first")]
+    got = global_ntile(df, 7, keys, "t", rows_per_bucket=20, min_buckets=100, max_buckets=120)
+    want = df.withColumn("t", F.ntile(7).over(Window.orderBy(F.col("v").desc_nulls_last(), F.col("id"))))
+    assert got.select("id", "t").exceptAll(want.select("id", "t")).count() == 0
