@@ -52,7 +52,8 @@ def _read(spark: SparkSession, path: str, key: str | None) -> DataFrame:
     if key is not None:
         cores = spark.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+            # no explicit count: AQE may coalesce the result to what the data needs
+            df = df.repartition(key)
     return df
 
 
