@@ -7,7 +7,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shopsight.operators import intermediate, marts
 from shopsight.plans.oracle import with_prelude
