@@ -88,3 +88,8 @@ def test_build_writes_all_marts(spark, tmp_path):
     }
     assert counts["fct_orders"] == spark.read.parquet(str(tmp_path / "marts" / "fct_orders")).count()
     assert (tmp_path / "csv" / "monthly_revenue").exists()
+    # month folders, each written by few tasks (range partitioning before the write)
+    months = [p for p in (tmp_path / "marts" / "fct_orders").iterdir() if p.name.startswith("purchased_month=")]
+    assert len(months) >= counts["monthly_revenue"]
+    files = [f for m in months for f in m.iterdir() if f.suffix == ".parquet"]
+    assert len(files) <= len(months) + int(spark.conf.get("spark.sql.shuffle.partitions"))
