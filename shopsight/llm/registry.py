@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopsight.llm import fingerprints
+from shopsight.llm import bpe, fingerprints, mixing, quality
 from shopsight.llm.common import table
 from shopsight.session import ensure_checkpoint_dir
 
@@ -32,3 +32,18 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 @query("op1_document_fingerprints")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+@query("op3_bpe_encoding")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"))
+
+
+@query("op7_source_mixing", mixing.REPORT_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
