@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import shopsight
+from shopsight.session import ensure_checkpoint_dir
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: The same six characters, for ``translate``.
@@ -14,6 +19,12 @@ WORD_SPACES = " \t\n\x0b\f\r"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def prepare(spark: SparkSession) -> None:
+    """Session state that every query needs: the shared checkpoint folder, and workers that find this package where the driver has it."""
+    ensure_checkpoint_dir(spark)
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(shopsight.__file__).resolve().parent.parent))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

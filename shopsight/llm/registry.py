@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopsight.llm import bpe, fingerprints, mixing, quality
-from shopsight.llm.common import table
-from shopsight.session import ensure_checkpoint_dir
+from shopsight.llm import bpe, fingerprints, mixing, quality, toxicity
+from shopsight.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -18,7 +17,7 @@ ORACLE: dict[str, str] = {}
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(run: Query) -> Query:
         def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ensure_checkpoint_dir(spark)
+            prepare(spark)
             return run(spark, sf_dir)
 
         QUERIES[name] = checked
@@ -47,3 +46,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
