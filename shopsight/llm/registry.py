@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopsight.llm import bpe, fingerprints, mixing, quality, toxicity
+from shopsight.llm import bpe, fingerprints, mixing, ngram_join, quality, toxicity
 from shopsight.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +51,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_toxicity")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_ngram_jaccard_join")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"))
