@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopsight.llm import bpe, fingerprints, mixing, ngram_join, quality, toxicity
+from shopsight.llm import bpe, fingerprints, mixing, ngram_join, quality, sharding, token_counts, toxicity
 from shopsight.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,3 +56,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_ngram_jaccard_join")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
+@query("op2_extendible_sharding", sharding.REPORT_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.document_shards(table(spark, sf_dir, "documents"))
+
+
+@query("op6_token_counts")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"))
