@@ -186,3 +186,17 @@ def report(documents: DataFrame) -> DataFrame:
     """The counts and the verdict of every document."""
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"]
     return judged(documents, ["doc_id"]).select(*columns)
+
+
+def kept_documents(documents: DataFrame) -> DataFrame:
+    """The documents that the verdict keeps, with all their columns.
+
+    The rejected, the smaller side, are joined out by id and text hash: rows that
+    agree in both agree in all that the verdict depends on.
+    """
+    hashed = documents.withColumn("__hash", F.xxhash64(whole_text(), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))))
+    # stored first: a filter pushed into the distance would write its terms out many times over
+    verdicts = materialize(judged(hashed, ["doc_id", "__hash"]).select(F.col("doc_id").alias("__id"), F.col("__hash").alias("__gone"), "kept"))
+    rejected = verdicts.where(~F.col("kept")).drop("kept").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__gone"))
+    return hashed.join(rejected, same, "left_anti").drop("__hash")

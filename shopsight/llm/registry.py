@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopsight.llm import bpe, fingerprints, mixing, ngram_join, quality, sharding, token_counts, toxicity
+from shopsight.llm import bpe, fingerprints, html_text, licenses, mixing, ngram_join, quality, sharding, token_counts, toxicity
 from shopsight.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,3 +66,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_token_counts")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"))
+
+
+@query("op8_license_scans")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
+@query("op9_html_extraction")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
