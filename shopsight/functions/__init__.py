@@ -46,24 +46,14 @@ def safe_divide(a: ColumnOrName, b: ColumnOrName) -> Column:
     return F.try_divide(_c(a).cast(T.DoubleType()), _c(b).cast(T.DoubleType()))
 
 
-def cents(c: ColumnOrName) -> Column:
-    """A money value (2 decimals) as an exact long count of cents.
-
-    Exact for amounts below ~9e13; summing longs stays in compact 64-bit
-    arithmetic, where a decimal(18,2) sum would widen to a 28-digit decimal
-    (arbitrary-precision buffers, several times slower).
-    """
-    return F.round(_c(c).cast(T.DoubleType()) * 100).cast(T.LongType())
-
-
 def money_sum(c: ColumnOrName) -> Column:
-    """Exact sum of a money column as decimal(18,2) (for intermediate tables)."""
-    return (F.sum(cents(c)).cast(T.DecimalType(18, 0)) / F.lit(100)).cast(T.DecimalType(18, 2))
+    """Exact sum of a money column, at the scale of its source (for intermediate tables)."""
+    return F.sum(_c(c))
 
 
 def exact_sum(c: ColumnOrName) -> Column:
     """Exact sum of a money column, converted to double once at the end (order-free)."""
-    return F.sum(cents(c)).cast(T.DoubleType()) / 100.0
+    return F.sum(_c(c)).cast(T.DoubleType())
 
 
 def exact_avg(c: ColumnOrName) -> Column:
@@ -88,8 +78,3 @@ def clip(c: ColumnOrName, lo=None, hi=None) -> Column:
     if hi is not None:
         out = F.least(out, F.lit(hi))
     return out
-
-
-def ymd(c: ColumnOrName) -> Column:
-    """strftime('%Y-%m-%d')."""
-    return F.date_format(_c(c), "yyyy-MM-dd")

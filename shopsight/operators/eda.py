@@ -249,7 +249,3 @@ def cohort_pivot(cohorts: DataFrame, offsets: Sequence[int] | None = None) -> Da
         .agg(F.first("retention_rate"))
         .orderBy("cohort_month")
     )
-
-
-def share(col: Column, total: Column) -> Column:
-    return F.try_divide(col.cast(T.DoubleType()), total.cast(T.DoubleType()))

@@ -1,13 +1,14 @@
 """First-order features, the repeat-purchase label, observability and the split.
 
-Everything is keyed by the person (``customer_unique_id``) and computed with hash
-aggregates (map-side partial aggregation), never with a window partitioned by
-person: one person may own a large share of all orders.
+Everything is keyed by the person (``customer_unique_id``). One person may own a
+large share of all orders, so rows are reduced per task before they move: first
+orders by partial aggregation (``min_by`` over a struct key, which Spark runs as a
+sort aggregate), second orders by a bounded row number.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,7 +66,7 @@ def first_order_features(fct: DataFrame, strict: bool = False) -> DataFrame:
     Default (reference semantics): each column takes its first non-NULL value in
     time order, which may come from a later order when the first has a NULL.
     ``strict=True`` takes every column from the true first row instead.
-    Both are one hash aggregate per person (``min_by``), no sort window.
+    Both are one partial and final aggregate per person (``min_by``).
     """
     f = fct.filter(F.col(PERSON).isNotNull())
     key = order_key()
@@ -89,16 +90,14 @@ def first_order_features(fct: DataFrame, strict: bool = False) -> DataFrame:
 def second_orders(fct: DataFrame) -> DataFrame:
     """Per person, the time of the second order in time order (``nth(1)``).
 
-    First key per person by a hash aggregate; then the orders after it are
-    reduced to their minimum. The join is on the person: a person with very many
-    orders is a skewed partition that AQE's skew-join splitting handles (the
-    other side has one row per person).
+    A row number with a bound: each task keeps at most two rows per person before
+    the shuffle (window group limit), so a person with very many orders moves no
+    more rows than there are tasks, times two.
     """
-    f = fct.filter(F.col(PERSON).isNotNull()).select(PERSON, order_key().alias("k"))
-    firsts = f.groupBy(PERSON).agg(F.min("k").alias("k1"))
-    rest = f.join(firsts, PERSON).filter(F.col("k") > F.col("k1"))
-    second = rest.groupBy(PERSON).agg(F.min("k").alias("k2"))
-    return second.select(PERSON, F.col("k2.ts").alias("second_order_at"))
+    f = fct.filter(F.col(PERSON).isNotNull()).select(PERSON, "purchased_at", "order_id")
+    order = Window.partitionBy(PERSON).orderBy(F.col("purchased_at").asc_nulls_last(), F.col("order_id"))
+    ranked = f.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= 2)
+    return ranked.filter(F.col("_nth") == 2).select(PERSON, F.col("purchased_at").alias("second_order_at"))
 
 
 def add_repeat_target(features: DataFrame, fct: DataFrame, horizon_days: int = 180) -> DataFrame:

@@ -155,17 +155,25 @@ def dim_products(stg: Staging) -> DataFrame:
 # --------------------------------------------------------------------------- analytic
 
 
+def _per_customer(v: DataFrame, key, sums: dict[str, str]) -> DataFrame:
+    """Orders and money per (key, customer): one row of the fact is one order.
+
+    Grouping by the customer first leaves the distinct count of customers to a
+    plain count, and spreads a hot key over tasks.
+    """
+    return v.groupBy(key, "customer_unique_id").agg(F.count("order_id").alias("orders"), *[money_sum(c).alias(out) for out, c in sums.items()])
+
+
 def monthly_revenue(fct: DataFrame) -> DataFrame:
     """Per month: orders, customers, three revenue sums and AOV (safe divide)."""
-    v = valid_orders(fct)
+    sums = {"gross_revenue": "items_total", "items_revenue": "items_subtotal", "freight_revenue": "freight_total"}
+    per = _per_customer(valid_orders(fct), F.col("purchased_month").alias("month"), sums)
     return (
-        v.groupBy(F.col("purchased_month").alias("month"))
+        per.groupBy("month")
         .agg(
-            F.count_distinct("order_id").alias("orders"),
-            F.count_distinct("customer_unique_id").alias("customers"),
-            exact_sum("items_total").alias("gross_revenue"),
-            exact_sum("items_subtotal").alias("items_revenue"),
-            exact_sum("freight_total").alias("freight_revenue"),
+            F.sum("orders").alias("orders"),
+            F.count("customer_unique_id").alias("customers"),
+            *[exact_sum(c).alias(c) for c in sums],
         )
         .withColumn("avg_order_value", safe_divide("gross_revenue", "orders"))
         .orderBy("month")
@@ -174,13 +182,13 @@ def monthly_revenue(fct: DataFrame) -> DataFrame:
 
 def revenue_by_state(fct: DataFrame) -> DataFrame:
     """Per customer state: orders, customers, revenue, AOV, revenue per customer."""
-    v = valid_orders(fct)
+    per = _per_customer(valid_orders(fct), F.col("customer_state").alias("state"), {"gross_revenue": "items_total"})
     return (
-        v.groupBy(F.col("customer_state").alias("state"))
+        per.groupBy("state")
         .agg(
-            F.count_distinct("order_id").alias("orders"),
-            F.count_distinct("customer_unique_id").alias("customers"),
-            exact_sum("items_total").alias("gross_revenue"),
+            F.sum("orders").alias("orders"),
+            F.count("customer_unique_id").alias("customers"),
+            exact_sum("gross_revenue").alias("gross_revenue"),
         )
         .withColumn("avg_order_value", safe_divide("gross_revenue", "orders"))
         .withColumn("revenue_per_customer", safe_divide("gross_revenue", "customers"))
@@ -189,22 +197,30 @@ def revenue_by_state(fct: DataFrame) -> DataFrame:
 
 
 def category_performance(stg: Staging, fct: DataFrame | None = None) -> DataFrame:
-    """Per category x month: orders, item and freight revenue, distinct products sold."""
+    """Per category x month: orders, item and freight revenue, distinct products sold.
+
+    Lines are summed per (order, product) first; a distinct count is then a
+    two-level count over that table, once by order and once by product.
+    """
     fct = fct if fct is not None else fct_orders(stg)
     items = stg.order_items.select("order_id", "product_id", "price", "freight_value")
-    orders = valid_orders(fct).select("order_id", "purchased_month")
+    orders = valid_orders(fct).select("order_id", F.col("purchased_month").alias("month"))
     products = dim_products(stg).select("product_id", "category")
     joined = items.join(orders, "order_id").join(products, "product_id")
-    return (
-        joined.groupBy("category", F.col("purchased_month").alias("month"))
+    by_order = (
+        joined.groupBy("category", "month", "order_id")
+        .agg(money_sum("price").alias("price"), money_sum("freight_value").alias("freight_value"))
+        .groupBy("category", "month")
         .agg(
-            F.count_distinct("order_id").alias("orders"),
+            F.count("order_id").alias("orders"),
             exact_sum("price").alias("items_revenue"),
             exact_sum("freight_value").alias("freight_revenue"),
-            F.count_distinct("product_id").alias("unique_products_sold"),
         )
-        .orderBy("category", "month")
     )
+    sold = joined.select(F.col("category").alias("_c"), F.col("month").alias("_m"), "product_id").distinct()
+    sold = sold.groupBy("_c", "_m").agg(F.count("product_id").alias("unique_products_sold"))
+    same = F.col("category").eqNullSafe(F.col("_c")) & F.col("month").eqNullSafe(F.col("_m"))
+    return by_order.join(sold, same).drop("_c", "_m").orderBy("category", "month")
 
 
 def customer_cohorts(fct: DataFrame) -> DataFrame:

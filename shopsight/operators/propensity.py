@@ -274,7 +274,3 @@ def model_metrics_view(meta_df: DataFrame) -> DataFrame:
     return df.withColumn("default_model", F.lit(meta.get("default_model", "logreg"))).withColumn(
         "horizon_days", F.lit(int(meta.get("horizon_days", 0)))
     )
-
-
-def std_pop(values) -> float:
-    return float(np.std(np.asarray(values, dtype=float)))

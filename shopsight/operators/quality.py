@@ -9,21 +9,24 @@ outside the list. The result is one row per check: (check_id, model, test,
 columns, severity, failures, status).
 
 All NULL counts of one table are a single aggregate pass; key checks are hash
-aggregates and anti joins. Each checked table is written once per run.
+aggregates and anti joins over the checked columns.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Collection, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shopsight.operators.marts import RFM_LABELS
+from shopsight.session import materialize_many
+
 # Accepted domains.
 ORDER_STATUSES = ["created", "approved", "invoiced", "processing", "shipped", "delivered", "unavailable", "canceled"]
 PAYMENT_TYPES = ["credit_card", "boleto", "voucher", "debit_card", "not_defined"]
 SCORES = [1, 2, 3, 4, 5]
-RFM_LABELS = ["Champions", "Loyal", "New", "At Risk", "Lost", "Other"]
 
 
 @dataclass(frozen=True)
@@ -102,12 +105,6 @@ CHECKS: list[Check] = [
 ]
 
 
-def _is_materialized(df: DataFrame) -> bool:
-    """True when the frame already reads stored data (a checkpoint or a file scan)."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    return plan.children().isEmpty() or plan.getClass().getSimpleName() == "LogicalRDD"
-
-
 def _failures(check: Check, tables: dict[str, DataFrame]) -> DataFrame:
     """One-row frame with the failure count of a key-type check."""
     t = tables[check.model]
@@ -134,18 +131,28 @@ def _failures(check: Check, tables: dict[str, DataFrame]) -> DataFrame:
     raise ValueError(check.test)
 
 
-def run_checks(tables: dict[str, DataFrame], checks: list[Check] | None = None, materialize: bool = True) -> DataFrame:
-    """Evaluate the checks; one result row per check."""
+def _touched(checks: list[Check]) -> dict[str, list[str]]:
+    """The columns that the checks read of each table."""
+    out: dict[str, list[str]] = {}
+    for c in checks:
+        out.setdefault(c.model, []).extend(c.columns)
+        if c.to_model:
+            out.setdefault(c.to_model, []).append(c.to_field)
+    return {model: list(dict.fromkeys(cols)) for model, cols in out.items()}
+
+
+def run_checks(tables: Mapping[str, DataFrame | Callable[[], DataFrame]], checks: list[Check] | None = None, stored: Collection[str] = ()) -> DataFrame:
+    """Evaluate the checks; one result row per check.
+
+    ``tables`` are frames or functions that make them; only those that the checks
+    touch are made, with the columns they touch. Those named in ``stored`` are
+    written once before the checks read them; the others are read where they lie.
+    """
     checks = checks if checks is not None else CHECKS
+    made = {model: tables[model]() if callable(tables[model]) else tables[model] for model in _touched(checks)}
+    made = {model: df.select(*_touched(checks)[model]) for model, df in made.items()}
+    tables = {**made, **materialize_many({model: df for model, df in made.items() if model in stored})}
     spark = next(iter(tables.values())).sparkSession
-    if materialize:
-        # Each checked table feeds several checks: write the ones that are not
-        # stored yet once, so no check recomputes a table's lineage.
-        from shopsight.session import materialize_many
-
-        used = {c.model for c in checks} | {c.to_model for c in checks if c.to_model}
-        todo = {k: v for k, v in tables.items() if k in used and not _is_materialized(v)}
-        tables = {**tables, **materialize_many(todo)}
     parts: list[DataFrame] = []
     # all NULL counts of a table in one pass
     by_model: dict[str, list[Check]] = {}

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopsight.operators.eda import exact_quantiles
+from shopsight.operators.marts import RFM_LABELS
 from shopsight.session import materialize
 
 PERSON = "customer_unique_id"
@@ -202,10 +203,12 @@ def cluster_profile(clusters: DataFrame, rfm: DataFrame) -> DataFrame:
 
 
 def cluster_crosstab(clusters: DataFrame, rfm: DataFrame) -> DataFrame:
-    """Long cluster x rule label table: count and share of the cluster in percent."""
+    """Cluster x rule label table, long: count and share of the cluster in percent, empty cells with 0."""
     joined = clusters.join(rfm.select(PERSON, "rfm_segment_label"), PERSON)
-    counts = joined.groupBy("cluster", "rfm_segment_label").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("cluster").agg(F.sum("n").alias("_tot"))
-    return counts.join(totals, "cluster").select(
-        "cluster", "rfm_segment_label", "n", F.bround(F.col("n") * 100.0 / F.col("_tot"), 1).alias("pct_of_cluster")
+    counts = joined.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("_tot"), *[F.count_if(F.col("rfm_segment_label") == label).alias(f"_n{i}") for i, label in enumerate(RFM_LABELS)]
+    )
+    cells = F.array(*[F.struct(F.lit(label).alias("rfm_segment_label"), F.col(f"_n{i}").alias("n")) for i, label in enumerate(RFM_LABELS)])
+    return counts.select("cluster", "_tot", F.explode(cells).alias("cell")).select(
+        "cluster", "cell.rfm_segment_label", "cell.n", F.bround(F.col("cell.n") * 100.0 / F.col("_tot"), 1).alias("pct_of_cluster")
     )

@@ -39,10 +39,6 @@ def _scratch(spark: SparkSession, kind: str) -> str:
     return f"{root}/{kind}/{uuid.uuid4().hex}"
 
 
-def _local(path: str) -> str:
-    return path[len("file:") :] if path.startswith("file:") else path
-
-
 def _export_raw_csv(spark: SparkSession, sf: str) -> str:
     """Write the nine raw tables as CSV folders named <table>.csv (string ids, as in a CSV drop)."""
     folder = _scratch(spark, "raw_csv")
@@ -87,9 +83,10 @@ def q_src_csv(spark, sf):
 
 @register("src_map", _raw_counts_sql())
 def q_src_map(spark, sf):
+    # stored, so every field of every record is parsed, and the stored rows are counted
+    folder = _scratch(spark, "raw_parquet")
     tables = io.load_raw_csv(spark, _export_raw_csv(spark, sf))
-    rows = [(name, df.count()) for name, df in tables.items()]
-    return spark.createDataFrame(rows, "raw_table string, rows long")
+    return _counts(spark, {n: io.write_table(df, f"{folder}/{n}") for n, df in tables.items()}, "raw_table")
 
 
 @register("src_count", _raw_counts_sql())
@@ -111,7 +108,7 @@ def q_sink_csv(spark, sf):
     folder = _scratch(spark, "marts")
     csv = folder + "_csv"
     build(wh(spark, sf), folder, csv)
-    rows = {n: io.read_mart(spark, n, _local(csv), source="csv").count() for n in MART_ORDER}
+    rows = {n: io.read_mart(spark, n, csv, source="csv").count() for n in MART_ORDER}
     return _counts(spark, rows, "mart")
 
 
@@ -135,14 +132,14 @@ def q_src_mart(spark, sf):
     folder = _scratch(spark, "marts")
     w = wh(spark, sf)
     io.write_table(w.monthly_revenue(), os.path.join(folder, "monthly_revenue"))
-    return io.read_mart(spark, "monthly_revenue", _local(folder))
+    return io.read_mart(spark, "monthly_revenue", folder)
 
 
 @register("src_parquet", "SELECT * FROM customer_cohorts")
 def q_src_parquet(spark, sf):
     folder = _scratch(spark, "serving")
     io.write_table(wh(spark, sf).customer_cohorts(), os.path.join(folder, "customer_cohorts"))
-    return io.read_mart(spark, "customer_cohorts", _local(folder), source="parquet")
+    return io.read_mart(spark, "customer_cohorts", folder, source="parquet")
 
 
 _FEATURE_SQL = ", ".join(features.FEATURE_COLUMNS_NUMERIC + features.FEATURE_COLUMNS_CATEGORICAL)

@@ -31,11 +31,11 @@ PERM_REPEATS = 10
 
 
 def _rfm(spark, sf) -> DataFrame:
-    return wh(spark, sf).customer_rfm()
+    return wh(spark, sf).rfm_base()
 
 
-def _clusters(spark, sf) -> tuple[DataFrame, DataFrame]:
-    rfm = materialize(_rfm(spark, sf))
+def _clusters(spark, sf, scored: bool = False) -> tuple[DataFrame, DataFrame]:
+    rfm = materialize(wh(spark, sf).customer_rfm() if scored else _rfm(spark, sf))
     return materialize(segment.kmeans_fit(rfm, FINAL_K, FINAL_RESTARTS)), rfm
 
 
@@ -45,15 +45,13 @@ def _split(spark, sf) -> tuple[DataFrame, DataFrame]:
     return fr.filter(F.col("split") == "train"), fr.filter(F.col("split") == "test")
 
 
-_MODELS: dict = {}
-
-
 def _model(spark, sf, kind: str):
-    key = (id(spark), sf, kind)
-    if key not in _MODELS:
+    """The fitted model and the test rows, kept with the Spark application that fitted them."""
+    models = spark.sparkContext.__dict__.setdefault("_shopsight_models", {})
+    if (sf, kind) not in models:
         train, test = _split(spark, sf)
-        _MODELS[key] = (propensity.fit_model(train, kind, NUMERIC, CATEGORICAL), test)
-    return _MODELS[key]
+        models[sf, kind] = (propensity.fit_model(train, kind, NUMERIC, CATEGORICAL), test)
+    return models[sf, kind]
 
 
 # ----------------------------------------------------------------- segmentation (§2.9, §2.7, §2.4)
@@ -114,7 +112,7 @@ def q_join_clusters_rfm(spark, sf):
 
 @register("cluster_crosstab")
 def q_cluster_crosstab(spark, sf):
-    clusters, rfm = _clusters(spark, sf)
+    clusters, rfm = _clusters(spark, sf, scored=True)
     return segment.cluster_crosstab(clusters, rfm)
 
 
@@ -130,7 +128,7 @@ def q_silhouette_sample(spark, sf):
 
 @register("sample_fixed")
 def q_sample_fixed(spark, sf):
-    return segment.sample_fixed(_rfm(spark, sf), SCATTER_SAMPLE)
+    return segment.sample_fixed(wh(spark, sf).customer_rfm(), SCATTER_SAMPLE)
 
 
 # ----------------------------------------------------------------- propensity (§2.9)
@@ -238,7 +236,7 @@ def q_model_default(spark, sf):
 
 @register("sink_model")
 def q_sink_model(spark, sf):
-    folder = os.path.join(ensure_checkpoint_dir(spark).replace("file:", ""), "models")
+    folder = os.path.join(ensure_checkpoint_dir(spark), "models")
     model, _ = _model(spark, sf, "logreg")
     propensity.save_model(model, os.path.join(folder, "repeat_purchase_logreg"))
     meta = _meta(spark, sf)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shopsight.operators import marts
 from shopsight.operators.staging import Staging
 from shopsight.sources.binding import bind_raw
-from shopsight.sources.io import EXPORT_MARTS, SMALL_MARTS, write_csv, write_table
+from shopsight.sources.io import EXPORT_MARTS, SMALL_MARTS, load_raw_csv, write_csv, write_table
 
 
 class Warehouse:
@@ -28,6 +28,15 @@ class Warehouse:
         self.stg = Staging(raw)
         self.spark = spark
 
+    @classmethod
+    def from_csv(cls, spark: SparkSession, folder: str, store: str, files: dict[str, str] | None = None) -> Warehouse:
+        """The warehouse of a folder of raw CSV files, stored as Parquet first, which parses every field."""
+        raw = {}
+        for name, df in load_raw_csv(spark, folder, files).items():
+            write_table(df, os.path.join(store, name))
+            raw[name] = spark.read.parquet(os.path.join(store, name))
+        return cls(raw, spark)
+
     @classmethod
     def from_test_tables(cls, spark: SparkSession, sf_dir: str) -> Warehouse:
         return cls(bind_raw(spark, sf_dir), spark)
@@ -44,17 +53,10 @@ class Warehouse:
     def dim_products(self) -> DataFrame:
         return marts.dim_products(self.stg)
 
-    def materialized(self) -> Warehouse:
-        """A copy whose order fact is written once (staging stays lazy, like views).
-
-        The analytic marts then start from the stored fact instead of
-        recomputing the raw joins for every consumer, as a scheduled build would.
-        """
-        from shopsight.session import materialize
-
-        out = Warehouse(self.raw, self.spark)
-        out.__dict__["fct_orders"] = materialize(self.fct_orders)
-        return out
+    def with_fact(self, fact: DataFrame) -> Warehouse:
+        """This warehouse with a stored order fact: the analytic marts start from it."""
+        self.__dict__["fct_orders"] = fact
+        return self
 
     def monthly_revenue(self) -> DataFrame:
         return marts.monthly_revenue(self.fct_orders)
@@ -68,6 +70,9 @@ class Warehouse:
     def customer_cohorts(self) -> DataFrame:
         return marts.customer_cohorts(self.fct_orders)
 
+    def rfm_base(self) -> DataFrame:
+        return marts.rfm_base(self.fct_orders)
+
     def customer_rfm(self, **opts) -> DataFrame:
         return marts.customer_rfm(self.fct_orders, **opts)
 
@@ -86,8 +91,7 @@ def build(wh: Warehouse, out_dir: str, export_csv_dir: str | None = None) -> dic
     n_parts = int(wh.spark.conf.get("spark.sql.shuffle.partitions"))
     fct = wh.fct_orders.repartitionByRange(n_parts, "purchased_month", "order_id")
     counts["fct_orders"] = write_table(fct, fct_path, partition_by=["purchased_month"])
-    stored = Warehouse(wh.raw, wh.spark)
-    stored.__dict__["fct_orders"] = wh.spark.read.parquet(fct_path)
+    stored = Warehouse(wh.raw, wh.spark).with_fact(wh.spark.read.parquet(fct_path))
     frames = {
         "dim_customers": wh.dim_customers,
         "dim_products": wh.dim_products,

@@ -7,8 +7,6 @@ Raw columns with no counterpart are typed NULLs.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,10 +17,9 @@ from shopsight.sources.schemas import MONEY
 # Order status from (o_orderstatus, o_orderpriority): F -> delivered, O -> shipped,
 # P + '5-LOW' -> canceled, P + '4-NOT SPECIFIED' -> unavailable, other P -> processing.
 # Payment type from l_returnflag: R -> credit_card, A -> boleto, N -> voucher.
-# Translation rows: economy, medium, promo, standard -> en_<name>; large and small have none.
+# Translation rows: <name> -> en_<name> for the part types without a letter l.
 # Estimated delivery = order date + 321 days; purchase time = order date + (orderkey % 24) hours.
 PAYMENT_TYPE_BY_FLAG = {"R": "credit_card", "A": "boleto", "N": "voucher"}
-TRANSLATED_CATEGORIES = ["economy", "medium", "promo", "standard"]
 ESTIMATED_DELIVERY_DAYS = 321
 CATEGORY_NULL_SIZE = 50
 
@@ -37,29 +34,9 @@ TEST_TABLES = (
 )
 
 
-# Join keys of the large test tables. A table read in fewer splits than the
-# session has cores (a single-row-group file) is hash-partitioned on its key
-# once at the source: the per-order aggregates and joins downstream then reuse
-# that partitioning instead of each shuffling again. Inputs with enough splits
-# (any large store) are left as they are; there the same effect comes from
-# storing the order tables bucketed by order id.
-SOURCE_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
-
-
-@lru_cache(maxsize=128)
-def _read(spark: SparkSession, path: str, key: str | None) -> DataFrame:
-    df = spark.read.parquet(path)
-    if key is not None:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            # no explicit count: AQE may coalesce the result to what the data needs
-            df = df.repartition(key)
-    return df
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One scan definition per file (schema resolved once); Catalyst still prunes per use."""
-    return _read(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", SOURCE_KEYS.get(name))
+    """One of the given tables; Catalyst prunes per use."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _null(dtype: T.DataType) -> Column:
@@ -185,9 +162,10 @@ def bind_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bind_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A fixed lookup of four rows (the raw translation table is itself a tiny lookup).
-    rows = [(name, f"en_{name}") for name in TRANSLATED_CATEGORIES]
-    return spark.createDataFrame(rows, "string_field_0 string, string_field_1 string")
+    """A translation for every category of the parts whose name has no letter l."""
+    name = F.lower("p_type")
+    names = read_table(spark, sf_dir, "part").select(name.alias("string_field_0")).where(~F.contains(name, F.lit("l"))).distinct()
+    return names.select("string_field_0", F.concat(F.lit("en_"), "string_field_0").alias("string_field_1"))
 
 
 def bind_sellers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Sources and sinks: raw CSV load, mart reads and writes.
 
-Raw CSVs are read with an explicit schema, header on, quoted newlines allowed and
-FAILFAST (zero bad records). Marts are Parquet; CSV is an export format only.
+Raw CSVs are read with an explicit schema, by header name and FAILFAST (zero bad
+records); quoted newlines are allowed where a file has free text. Marts are
+Parquet; CSV is an export format only.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ import logging
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from shopsight.sources.schemas import RAW_FILES, RAW_SCHEMAS
+from shopsight.sources.schemas import MULTILINE_TABLES, POSITIONAL_TABLES, RAW_FILES, RAW_SCHEMAS
 
 log = logging.getLogger(__name__)
 
@@ -41,17 +43,28 @@ SMALL_MARTS = ("monthly_revenue", "customer_cohorts", "revenue_by_state", "categ
 
 
 def load_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """src_csv: read one raw CSV with its fixed schema."""
-    return (
-        spark.read.schema(RAW_SCHEMAS[table])
-        .option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
+    """src_csv: read one raw CSV with its fixed schema.
+
+    Columns are found by the header's names, in any order; an unknown, missing or
+    repeated column is a ValueError. Every file must have the header of the
+    first. A bad field fails when its column is read, so a load that must be
+    valid is stored (:func:`write_table`), which reads them all.
+    """
+    schema = RAW_SCHEMAS[table]
+    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", table in MULTILINE_TABLES)
+    if table not in POSITIONAL_TABLES:
+        header = [c.strip() for c in reader.option("inferSchema", False).csv(path).columns]
+        if sorted(header) != sorted(schema.names):
+            raise ValueError(f"{path}: columns {header} are not those of {table}: {schema.names}")
+        schema = T.StructType([schema[c] for c in header])
+    rows = (
+        reader.schema(schema)
+        .option("enforceSchema", table in POSITIONAL_TABLES)
         .option("mode", "FAILFAST")
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
         .csv(path)
     )
+    return rows.select(*RAW_SCHEMAS[table].names)
 
 
 def load_raw_csv(spark: SparkSession, folder: str, files: dict[str, str] | None = None) -> dict[str, DataFrame]:

@@ -1,7 +1,8 @@
 """Explicit schemas of the nine raw retail tables.
 
 Fixed by name, never inferred: inference once read a header row as data.
-Money is decimal(18,2) so that sums are exact and independent of order.
+Money is a decimal, so sums are exact and independent of order; CSV money keeps
+every digit it is written with, up to ten decimals.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ _L = T.LongType()
 _TS = T.TimestampNTZType()
 _D = T.DoubleType()
 MONEY = T.DecimalType(18, 2)
+CSV_MONEY = T.DecimalType(24, 10)
 
 
 def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
@@ -45,15 +47,15 @@ RAW_SCHEMAS: dict[str, T.StructType] = {
         ("product_id", _S),
         ("seller_id", _S),
         ("shipping_limit_date", _TS),
-        ("price", MONEY),
-        ("freight_value", MONEY),
+        ("price", CSV_MONEY),
+        ("freight_value", CSV_MONEY),
     ),
     "order_payments": _struct(
         ("order_id", _S),
         ("payment_sequential", _I),
         ("payment_type", _S),
         ("payment_installments", _I),
-        ("payment_value", MONEY),
+        ("payment_value", CSV_MONEY),
     ),
     "order_reviews": _struct(
         ("review_id", _S),
@@ -95,6 +97,11 @@ RAW_SCHEMAS: dict[str, T.StructType] = {
     ),
 }
 
+# Free text may hold quoted line breaks: only this file cannot be split.
+MULTILINE_TABLES = {"order_reviews"}
+# Read by position, whatever the header says.
+POSITIONAL_TABLES = {"product_category_translation"}
+
 # File name of each raw table in a CSV drop; callers may pass their own mapping.
 RAW_FILES: dict[str, str] = {name: f"{name}.csv" for name in RAW_SCHEMAS}
 

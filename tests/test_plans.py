@@ -40,3 +40,17 @@ def test_cluster_conf_scales_with_input():
     big = cluster_conf(100 * 1024**4, 1000)
     assert int(small["spark.sql.shuffle.partitions"]) == 3000
     assert int(big["spark.sql.shuffle.partitions"]) == 100 * 1024**4 // (256 * 1024**2)
+
+
+def test_no_expand_in_revenue_marts(spark):
+    wh = Warehouse.from_test_tables(spark, SF_CHECK)
+    for df in (wh.monthly_revenue(), wh.revenue_by_state()):
+        assert "Expand" not in _plan(df)
+
+
+def test_second_order_keeps_two_rows_per_person_and_task(spark):
+    from shopsight.operators import features
+
+    plan = _plan(features.second_orders(Warehouse.from_test_tables(spark, SF_CHECK).fct_orders))
+    limits = re.findall(r"WindowGroupLimit .*, (Partial|Final)", plan)
+    assert "Partial" in limits and "Join" not in plan.split("WindowGroupLimit")[0]
