@@ -15,14 +15,17 @@ which spreads a hot key by value, then count per key with partial merge).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopsight.functions import calendar_days, exact_sum, money_sum, month_start, months_between_starts, safe_divide
 from shopsight.operators.intermediate import int_item_totals, int_payment_totals, int_review_aggregated
-from shopsight.operators.rank import global_ntile
+from shopsight.operators.rank import tile_of
 from shopsight.operators.staging import Staging
+from shopsight.session import materialize
 
 # Statuses excluded from every analytic mart.
 INVALID_STATUSES = ("canceled", "unavailable")
@@ -305,28 +308,24 @@ def rfm_label(r, f, m):
     )
 
 
-def customer_rfm(fct: DataFrame, materialize_input: bool = True, **rank_opts) -> DataFrame:
+def customer_rfm(fct: DataFrame, **rank_opts) -> DataFrame:
     """RFM scores: three global ntile(5) (recency desc, frequency asc, monetary asc).
 
-    Each ntile ends with the person id as a tie-break. A plain
-    ``ntile().over(Window.orderBy(..))`` would run on one partition; the
-    distributed ``global_ntile`` ranks range buckets in parallel instead.
+    Each ntile ends with the person id as a tie-break. Per-person figures are
+    stored once; the keys that begin each fifth are selected from them, the three
+    orders side by side, and the scores are projections.
     """
-    if materialize_input:
-        from shopsight.session import materialize
-
-        # written once: read by the count, three cut-point samples, three
-        # bucket-count passes and the ranked passes
-        base = materialize(rfm_recency(materialize(rfm_per_person(fct))))
-    else:
-        base = rfm_base(fct)
-    uid = ("customer_unique_id", "asc", "first")
-    # cut points and bucket counts of all three orders come from the base frame
+    base = rfm_recency(materialize(rfm_per_person(fct)))
     n_rows = base.count()
-    opts = dict(stats=base, n_rows=n_rows, **rank_opts)
-    scored = global_ntile(base, 5, [("recency_days", "desc", "last"), uid], "r_score", **opts)
-    scored = global_ntile(scored, 5, [("frequency", "asc", "first"), uid], "f_score", **opts)
-    scored = global_ntile(scored, 5, [("monetary", "asc", "first"), uid], "m_score", **opts)
+    uid = ("customer_unique_id", "asc", "first")
+    orders = {
+        "r_score": [("recency_days", "desc", "last"), uid],
+        "f_score": [("frequency", "asc", "first"), uid],
+        "m_score": [("monetary", "asc", "first"), uid],
+    }
+    with ThreadPoolExecutor(max_workers=len(orders)) as pool:
+        made = {out: pool.submit(tile_of, base, 5, keys, n_rows, **rank_opts) for out, keys in orders.items()}
+        scored = base.withColumns({out: m.result() for out, m in made.items()})
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
     return scored.select(
         "customer_unique_id",

@@ -4,7 +4,7 @@ All metrics are DataFrame plans. Threshold metrics (average precision, ROC AUC,
 the PR curve) first collapse rows to distinct scores (hash aggregate, map-side
 combine), then take running sums along the score order with the distributed
 ``prefix_sums`` (range buckets, no single-partition window). Top-fraction
-metrics use the distributed ``global_row_number`` with the id as tie-break.
+metrics select the key at the cut, with the id as tie-break.
 Sums of float terms are rounded to 12 decimals so results do not depend on the
 order in which partitions are added.
 """
@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopsight.operators.rank import global_row_number, prefix_sums
+from shopsight.operators.rank import in_top, keys_at, prefix_sums, sort_key
 from shopsight.session import materialize
 
 DIGITS = 12
@@ -97,28 +97,31 @@ def top_fraction(df: DataFrame, frac: float, id_col: str, score: str = "score",
     df = materialize(df)
     n = df.count()
     n_top = max(1, int(np.ceil(n * frac)))
-    ranked = global_row_number(df, [(score, "desc", "last"), (id_col, "asc", "first")], "_rn", **rank_opts)
-    return ranked.filter(F.col("_rn") <= n_top).drop("_rn")
+    return df.filter(in_top(df, [(score, "desc", "last"), (id_col, "asc", "first")], n_top, n, **rank_opts))
 
 
 def recall_lift(
     df: DataFrame, id_col: str, label: str = "label", score: str = "score", fracs=(0.10, 0.20), **rank_opts
 ) -> DataFrame:
-    """m_recall_at_k / m_lift_at_k for several fractions in one ranked pass (one row).
+    """m_recall_at_k / m_lift_at_k for several fractions in one pass (one row).
 
     recall = positives in the top / all positives (0 if none);
     lift = precision in the top / base rate (0 if the base rate is 0).
     """
     df = materialize(df)
     n = df.count()
-    ranked = global_row_number(df, [(score, "desc", "last"), (id_col, "asc", "first")], "_rn", **rank_opts)
+    order = [(score, "desc", "last"), (id_col, "asc", "first")]
+    tops = {frac: max(1, int(np.ceil(n * frac))) for frac in fracs}
+    last = keys_at(df, order, [k - 1 for k in tops.values()], n, **rank_opts)
+    key = sort_key(df, order)
     aggs = [F.sum(F.col(label)).alias("_p"), F.count(F.lit(1)).alias("_n")]
     for frac in fracs:
-        k = max(1, int(np.ceil(n * frac)))
+        k = tops[frac]
         tag = f"{int(round(frac * 100))}"
-        aggs.append(F.sum(F.when(F.col("_rn") <= k, F.col(label)).otherwise(0)).alias(f"_hit{tag}"))
+        within = key <= last[k - 1] if k - 1 in last else F.lit(True)
+        aggs.append(F.sum(F.when(within, F.col(label)).otherwise(0)).alias(f"_hit{tag}"))
         aggs.append(F.lit(k).alias(f"_k{tag}"))
-    agg = ranked.agg(*aggs)
+    agg = df.agg(*aggs)
     cols = []
     for frac in fracs:
         tag = f"{int(round(frac * 100))}"

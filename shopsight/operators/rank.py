@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,14 +130,27 @@ class RangeBuckets:
         return out
 
 
-def _ntile_expr(rank0: Column, n_rows: Column, n: int) -> Column:
-    """ntile(n) from a 0-based rank, the same split as the SQL window function."""
-    q = F.floor(n_rows / n).cast("long")
-    r = (n_rows % n).cast("long")
-    big = r * (q + 1)
-    first = F.floor(rank0 / (q + 1)) + 1
-    second = r + F.floor((rank0 - big) / F.when(q > 0, q)) + 1
-    return F.when(rank0 < big, first).otherwise(second).cast("int")
+def keys_at(stats: DataFrame, keys: Sequence, ranks: Sequence[int], n_rows: int | None = None, **opts) -> dict[int, Column]:
+    """The sort keys at some 0-based ranks of a total order, as literals (ranks beyond the end are left out).
+
+    Selection without a full sort: the rows are counted per range bucket, and only
+    the buckets that hold a wanted rank are sorted. The bucket counts and one key
+    per rank reach the driver.
+    """
+    buckets = RangeBuckets(stats, keys, n_rows=n_rows, **opts)
+    keyed = stats.select(sort_key(stats, buckets.keys).alias(_SK), buckets.bucket(stats).alias(_BKT))
+    before, wanted = 0, {}
+    for row in sorted(keyed.groupBy(_BKT).count().collect(), key=lambda r: r[_BKT]):
+        for rank in ranks:
+            if before <= rank < before + row["count"]:
+                wanted.setdefault(row[_BKT], {})[rank - before + 1] = rank
+        before += row["count"]
+    if not wanted:
+        return {}
+    local = F.row_number().over(Window.partitionBy(_BKT).orderBy(_SK))
+    hit = reduce(lambda x, y: x | y, [(F.col(_BKT) == b) & F.col("_local").isin(list(at)) for b, at in wanted.items()])
+    found = keyed.where(F.col(_BKT).isin(list(wanted))).withColumn("_local", local).where(hit).collect()
+    return {wanted[r[_BKT]][r["_local"]]: _struct_literal(r[_SK], buckets.struct_type) for r in found}
 
 
 def _ranked(df: DataFrame, buckets: RangeBuckets, stats: DataFrame) -> DataFrame:
@@ -160,16 +174,28 @@ def global_row_number(
     )
 
 
-def global_ntile(
-    df: DataFrame, n: int, keys: Sequence, out_col: str = "ntile", stats: DataFrame | None = None, **opts
-) -> DataFrame:
+def tile_of(stats: DataFrame, n: int, keys: Sequence, n_rows: int | None = None, **opts) -> Column:
+    """The ntile(n) of a row over a total order of ``keys``, as an expression over its columns.
+
+    Only the first key of each tile is looked for (:func:`keys_at`); no row is shuffled.
+    """
+    n_rows = stats.count() if n_rows is None else n_rows
+    size, larger = divmod(n_rows, n)
+    starts = {j * size + min(j, larger) for j in range(1, n)}
+    cuts = keys_at(stats, keys, sorted(starts), n_rows, **opts)
+    key = sort_key(stats, [_norm(k) for k in keys])
+    return reduce(lambda a, c: a + (key >= c).cast("int"), cuts.values(), F.lit(1))
+
+
+def global_ntile(df: DataFrame, n: int, keys: Sequence, out_col: str = "ntile", **opts) -> DataFrame:
     """ntile(n) over a total order of ``keys``; equals ``F.ntile(n).over(Window.orderBy(keys))``."""
-    stats = stats if stats is not None else df
-    buckets = RangeBuckets(stats, keys, **opts)
-    ranked = _ranked(df, buckets, stats)
-    return ranked.withColumn(out_col, _ntile_expr(F.col("_rank0"), F.col("_n"), n)).drop(
-        _SK, _BKT, "_local", "_off", "_n", "_rank0"
-    )
+    return df.withColumn(out_col, tile_of(df, n, keys, **opts))
+
+
+def in_top(df: DataFrame, keys: Sequence, top: int, n_rows: int, stats: DataFrame | None = None, **opts) -> Column:
+    """Whether a row is among the first ``top`` rows of a total order (selected, not ranked)."""
+    last = keys_at(stats if stats is not None else df, keys, [top - 1], n_rows, **opts)
+    return sort_key(df, [_norm(k) for k in keys]) <= last[top - 1] if last else F.lit(True)
 
 
 def prefix_sums(
