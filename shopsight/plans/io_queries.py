@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopsight.operators import features, marts
+from shopsight.plans.modeling import clusters
 from shopsight.plans.registry import register, wh
 from shopsight.plans.warehouse import build
 from shopsight.session import ensure_checkpoint_dir
@@ -31,7 +32,7 @@ MART_ORDER = [
     "customer_cohorts",
     "customer_rfm",
 ]
-SERVING_SQL_MARTS = ["monthly_revenue", "customer_cohorts", "customer_rfm", "revenue_by_state", "category_performance"]
+SERVING_SQL_MARTS = [n for n in io.SERVING_MARTS if n != "customer_clusters"]
 
 
 def _scratch(spark: SparkSession, kind: str) -> str:
@@ -112,11 +113,17 @@ def q_sink_csv(spark, sf):
     return _counts(spark, rows, "mart")
 
 
-@register("sink_parquet", _counts_sql(SERVING_SQL_MARTS, "mart"))
+@register(
+    "sink_parquet",
+    _counts_sql(SERVING_SQL_MARTS, "mart")
+    + " UNION ALL SELECT 'customer_clusters' AS mart, COUNT(*) AS rows FROM rfm_base"
+    + " WHERE recency_days IS NOT NULL AND frequency IS NOT NULL AND monetary IS NOT NULL",
+)
 def q_sink_parquet(spark, sf):
     folder = _scratch(spark, "serving")
     w = wh(spark, sf)
     frames = {
+        "customer_clusters": clusters(spark, sf),
         "monthly_revenue": w.monthly_revenue(),
         "customer_cohorts": w.customer_cohorts(),
         "customer_rfm": w.customer_rfm(),

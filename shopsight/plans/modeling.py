@@ -7,6 +7,7 @@ of these have a rows-only check; the preprocessing statistics have an oracle.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from shopsight.operators import features, metrics, propensity, segment, serving
 from shopsight.plans.analysis import HORIZON, TRAIN_END
 from shopsight.plans.registry import register, wh
 from shopsight.session import ensure_checkpoint_dir, materialize
+from shopsight.sources import io
 
 PERSON = "customer_unique_id"
 LABEL = f"repeat_within_{HORIZON}d"
@@ -39,6 +41,11 @@ def _clusters(spark, sf, scored: bool = False) -> tuple[DataFrame, DataFrame]:
     return materialize(segment.kmeans_fit(rfm, FINAL_K, FINAL_RESTARTS)), rfm
 
 
+def clusters(spark, sf) -> DataFrame:
+    """The customer_clusters mart: person, cluster and the fit's own cluster number."""
+    return _clusters(spark, sf)[0].select(PERSON, "cluster", "kmeans_cluster")
+
+
 def _split(spark, sf) -> tuple[DataFrame, DataFrame]:
     fr = features.propensity_frame(wh(spark, sf).fct_orders, HORIZON, TRAIN_END).withColumn("label", F.col(LABEL))
     fr = materialize(fr)
@@ -82,8 +89,10 @@ def q_kmeans_fit(spark, sf):
 
 @register("sink_clusters")
 def q_sink_clusters(spark, sf):
-    clusters, _ = _clusters(spark, sf)
-    return clusters.select(PERSON, "cluster", "kmeans_cluster")
+    """The customer_clusters mart, written and read back."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/serving/{uuid.uuid4().hex}"
+    io.write_table(clusters(spark, sf), f"{folder}/customer_clusters")
+    return io.read_mart(spark, "customer_clusters", folder)
 
 
 @register("cluster_rank")
