@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopsight.functions import bool_rate, clip, exact_avg
+from shopsight.functions import bool_rate, clip, exact_avg, month_start
 from shopsight.operators.rank import prefix_sums
 
 DIGITS = 12
@@ -235,11 +235,22 @@ def rfm_describe(rfm: DataFrame, **rank_opts) -> DataFrame:
     return describe(rfm.na.drop(subset=cols), cols, **rank_opts)
 
 
+def month_offsets(orders: DataFrame) -> range:
+    """Every offset that cohorts of these orders can have: 0 to the months between the first and the last order.
+
+    One aggregate over a single column, two values to the driver; the cohorts themselves are not computed.
+    """
+    month = month_start("purchased_date")
+    first, last = orders.agg(F.min(month), F.max(month)).first()
+    return range(0 if first is None else 12 * (last.year - first.year) + last.month - first.month + 1)
+
+
 def cohort_pivot(cohorts: DataFrame, offsets: Sequence[int] | None = None) -> DataFrame:
     """Retention matrix: cohort x months since first; missing cells stay NULL.
 
     The pivot values are the distinct offsets (a bounded list: months in the
-    data range); passing them keeps the plan to one aggregation pass.
+    data range); passing them (see :func:`month_offsets`) keeps the plan to one
+    aggregation pass. Cells of an offset that is not passed would be lost.
     """
     if offsets is None:
         offsets = [r[0] for r in cohorts.select("months_since_first").distinct().orderBy("months_since_first").collect()]

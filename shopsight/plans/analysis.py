@@ -499,7 +499,7 @@ def q_rfm_describe(spark, sf):
     return eda.rfm_describe(wh(spark, sf).rfm_base())
 
 
-# Months between the first and the last order of the test tables.
+# Months between the first and the last order of the test tables, for the SQL only: the query reads them from its orders.
 COHORT_OFFSETS = range(80)
 
 
@@ -510,7 +510,8 @@ COHORT_OFFSETS = range(80)
     + " FROM customer_cohorts GROUP BY cohort_month",
 )
 def q_cohort_pivot(spark, sf):
-    return eda.cohort_pivot(wh(spark, sf).customer_cohorts(), COHORT_OFFSETS)
+    w = wh(spark, sf)
+    return eda.cohort_pivot(w.customer_cohorts(), eda.month_offsets(marts.valid_orders(w.fct_orders)))
 
 
 # ----------------------------------------------------------------- serving (§2.5, §2.9)

@@ -93,3 +93,21 @@ def test_build_writes_all_marts(spark, tmp_path):
     assert len(months) >= counts["monthly_revenue"]
     files = [f for m in months for f in m.iterdir() if f.suffix == ".parquet"]
     assert len(files) <= len(months) + int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_cohort_pivot_keeps_every_offset(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from shopsight.plans import analysis
+
+    # one person buys in the first, the second and the 121st month; an invalid order far out opens no columns
+    days = [dt.datetime(2010, 1, 31), dt.datetime(2010, 2, 1), dt.datetime(2020, 1, 1)]
+    rows = [{"purchased_at": d} for d in days] + [{"purchased_at": dt.datetime(2030, 1, 1), "status": "canceled"}]
+    fct = make_fct(spark, rows)
+    for orders, offsets in ((fct, 121), (fct.filter("order_id <= 2"), 2), (fct.limit(0), 0)):
+        w = SimpleNamespace(fct_orders=orders, customer_cohorts=lambda orders=orders: marts.customer_cohorts(orders))
+        monkeypatch.setattr(analysis, "wh", lambda *_, w=w: w)
+        matrix = analysis.q_cohort_pivot(spark, None)
+        assert matrix.columns == ["cohort_month", *map(str, range(offsets))]
+        cells = {k: v for r in matrix.collect() for k, v in r.asDict().items() if k != "cohort_month" and v is not None}
+        assert cells == {str(i): 1.0 for i in (0, 1, 120) if i < offsets}
