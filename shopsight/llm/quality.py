@@ -3,16 +3,20 @@
 Counts of every text (words, symbols, repeated lines and words) give a base
 rule and a statistic vector. Per (language, source) group a
 minimum-covariance-determinant estimate is found by concentration steps: the
-``CORE`` share of the group nearest to the current centre gives the next centre
-and covariance. A document is rejected when its Mahalanobis distance from its
-group's estimate is beyond ``CUTOFF``.
+half of the group's distinct texts nearest to the current centre gives the next
+centre and covariance, from each of the ``STARTS`` until the determinant stops
+falling; the least determinant of all wins. Texts that tie at the edge of the
+half share the places left in it, so a block of equal vectors enters in part
+only. A document is rejected when its Mahalanobis distance from its group's
+estimate is beyond ``CUTOFF``. Junk of less than half of a group's distinct
+texts, and any number of copies of one text, cannot fill the half.
 
 Each statistic is a ratio, centred at the group's median and shrunk for short
 texts (``sqrt(n / (n + SHRINK))``), whose ratios scatter more. ``FLOOR`` bounds
 each spread from below: most texts have no symbol or repeat at all, and without
 it a single one would be infinitely far out.
 
-Groups of fewer than ``MIN_GROUP`` documents are pooled by language, languages
+Groups of fewer than ``MIN_GROUP`` distinct texts are pooled by language, languages
 that are still small are pooled together; a pool that stays small rejects
 nothing beyond the base rule.
 
@@ -48,9 +52,14 @@ STATISTICS = {
     "echoes": ("n_echoes", "n_words", 0.03),
 }
 SHRINK = 200
-#: Share of a group that the estimate concentrates on, and how often.
-CORE = 0.75
-STEPS = 3
+#: The half nearest to a centre scatters less than all; its covariance times this is consistent for normal
+#: vectors: 0.5 / P(chi-square of 8 <= median of chi-square of 6).
+CONSISTENCY = 1.785
+#: Concentration goes on while a start's log determinant falls by more than this.
+FALL = 1e-6
+#: First covariances, all around the median: the floors alone, which repeats and symbols cannot inflate, the
+#: median absolute deviations, and the correlations of the vectors' directions and of their bounded values.
+STARTS = ("floors", "deviations", "directions", "bounded")
 MIN_GROUP = 60
 #: Squared Mahalanobis distance beyond which a document is rejected: the
 #: chi-square quantile of 6 statistics that one vector in 100,000 exceeds.
@@ -67,11 +76,12 @@ def _sum(values: Column) -> Column:
 
 def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the counts of the text column: n_words, word_chars, n_symbols, n_marks, n_lines, n_dup_lines,
-    n_echoes (words equal to the word before) and n_repeat_words."""
+    n_echoes (words equal to the word before) and n_repeat_words; and text_hash, which tells texts apart."""
     t = whole_text(text)
     df = (
         df.withColumn("__words", F.transform(words_of(t), lambda w: F.xxhash64(w)))
         .withColumn("__lines", F.filter(F.split(t, "\n", -1), lambda line: line.rlike(WORD_PATTERN)))
+        .withColumn("text_hash", F.xxhash64(t))
         .withColumn("n_words", F.size("__words").cast("long"))
         .withColumn("word_chars", F.length(F.translate(t, WORD_SPACES, "")).cast("long"))
         .withColumn("n_symbols", _count_of(t, SYMBOLS))
@@ -104,7 +114,8 @@ def _key(*names: str) -> Column:
 
 def _grouped(stats: DataFrame) -> DataFrame:
     """Add ``__g``, the pool that a document is judged in (null: too small for a judgement)."""
-    counts = stats.where(~F.col("base_failed")).groupBy("lang", "source").agg(F.count("*").alias("n"))
+    texts = stats.where(~F.col("base_failed")).select("lang", "source", "text_hash").distinct()
+    counts = texts.groupBy("lang", "source").agg(F.count("*").alias("n"))
     # a row for each language and source
     by_source = counts.select(_key("lang", "source").alias("__k"), _key("lang").alias("__lang"), "n", (F.col("n") >= MIN_GROUP).alias("own"))
     by_lang = by_source.where(~F.col("own")).groupBy("__lang").agg(F.sum("n").alias("lang_n"))
@@ -125,9 +136,8 @@ def _shrunk(name: str, centre: Column) -> Column:
     return (ratio - centre) * F.sqrt(F.col("n_words") / (F.col("n_words") + SHRINK))
 
 
-def _moments(names: list[str]) -> list[Column]:
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[: i + 1]]
-    return [F.avg(f"z_{n}").alias(f"m_{n}") for n in names] + [F.covar_pop(f"z_{a}", f"z_{b}").alias(f"c_{a}_{b}") for a, b in pairs]
+def _pairs(names: list[str]) -> list[tuple[str, str]]:
+    return [(a, b) for i, a in enumerate(names) for b in names[: i + 1]]
 
 
 def _factor(model: DataFrame, names: list[str]) -> DataFrame:
@@ -149,23 +159,78 @@ def _with_distance(df: DataFrame, names: list[str], out: str) -> DataFrame:
     return df.withColumn(out, square).drop(*[f"__y_{n}" for n in names])
 
 
+def _starts(vectors: DataFrame, names: list[str]) -> DataFrame:
+    """A model per pool and start: ``__g``, ``__start``, ``__h`` (texts in the half), ``__last`` (log determinant), ``m_*`` and ``l_*_*``."""
+    sizes = [F.ceil(F.count("*") / 2).alias("__h")] + [F.percentile_approx(F.abs(f"z_{n}"), 0.5, 10000).alias(f"d_{n}") for n in names]
+    spreads = vectors.groupBy("__g").agg(*sizes)
+    spreads = materialize(spreads.select("__g", "__h", *[F.sqrt((1.4826 * F.col(f"d_{n}")) ** 2 + STATISTICS[n][2] ** 2).alias(f"s_{n}") for n in names]))
+    scaled = vectors.join(spreads, "__g").select("__g", "__h", *[f"s_{n}" for n in names], *[(F.col(f"z_{n}") / F.col(f"s_{n}")).alias(f"u_{n}") for n in names])
+    scaled = scaled.withColumn("__r", reduce(lambda r, n: r + F.col(f"u_{n}") ** 2, names, F.lit(0.0)))
+    along = lambda a, b: len(names) * F.coalesce(F.avg(F.try_divide(F.col(f"u_{a}") * F.col(f"u_{b}"), F.col("__r"))), F.lit(0.0))
+    bounded = lambda a, b: F.avg(F.tanh(f"u_{a}") * F.tanh(f"u_{b}"))
+    pairs = _pairs(names)
+    both = scaled.groupBy("__g", "__h", *[f"s_{n}" for n in names]).agg(
+        *[along(a, b).alias(f"directions_{a}_{b}") for a, b in pairs], *[bounded(a, b).alias(f"bounded_{a}_{b}") for a, b in pairs]
+    )
+    one = lambda a, b: F.lit(1.0 if a == b else 0.0)
+    scale = lambda a, b: F.col(f"s_{a}") * F.col(f"s_{b}")
+    of = {
+        "floors": lambda a, b: F.lit(0.0),
+        "deviations": lambda a, b: one(a, b) * scale(a, b),
+        "directions": lambda a, b: F.col(f"directions_{a}_{b}") * scale(a, b),
+        "bounded": lambda a, b: F.col(f"bounded_{a}_{b}") * scale(a, b),
+    }
+    kinds = [F.struct(F.lit(k).alias("__start"), *[of[k](a, b).alias(f"c_{a}_{b}") for a, b in pairs]) for k in STARTS]
+    each = both.select("__g", "__h", F.lit(float("inf")).alias("__last"), *[F.lit(0.0).alias(f"m_{n}") for n in names], F.explode(F.array(*kinds)).alias("__k"))
+    return materialize(_factor(materialize(each.select(*each.columns[:-1], "__k.*")), names))
+
+
+def _concentrated(vectors: DataFrame, models: DataFrame, names: list[str]) -> DataFrame:
+    """Every model's next: centre and covariance of the ``__h`` texts nearest to it.
+
+    Texts nearer than the edge count whole; those at the edge share the places left.
+    """
+    keys = ["__g", "__start", "__h", "__last"]
+    pairs = _pairs(names)
+    near = _with_distance(vectors.join(models, "__g"), names, "__d").select(*keys, "__d", *[f"z_{n}" for n in names])
+    near = materialize(near)  # read twice; a filter pushed into the distance would write its terms out many times over
+    edge = materialize(near.groupBy("__g", "__start").agg(F.percentile_approx("__d", 0.5, 10000).alias("__edge")))
+    core = near.join(edge, ["__g", "__start"]).where(F.col("__d") <= F.col("__edge")).withColumn("__at", F.col("__d") == F.col("__edge"))
+    sums = [F.count("*").cast("double").alias("n")] + [F.sum(f"z_{n}").alias(f"t_{n}") for n in names]
+    sums += [F.sum(F.col(f"z_{a}") * F.col(f"z_{b}")).alias(f"t_{a}_{b}") for a, b in pairs]
+    parts = core.groupBy(*keys, "__at").agg(*sums)
+    totals = [c for c in parts.columns if c not in (*keys, "__at")]
+    part = lambda c, at: F.coalesce(F.max(F.when(F.col("__at") == at, F.col(c))), F.lit(0.0))
+    parts = parts.groupBy(*keys).agg(*[part(c, False).alias(f"in_{c}") for c in totals], *[part(c, True).alias(f"at_{c}") for c in totals])
+    share = F.least(F.greatest(F.coalesce(F.try_divide(F.col("__h") - F.col("in_n"), F.col("at_n")), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    parts = parts.withColumn("__share", share)
+    # stored between the layers: as one projection, each would write the one below out many times over
+    parts = materialize(parts.select(*keys, *[(F.col(f"in_{c}") + F.col("__share") * F.col(f"at_{c}")).alias(c) for c in totals]))
+    mean = lambda c: F.col(f"t_{c}") / F.col("n")
+    moments = [mean(n).alias(f"m_{n}") for n in names]
+    moments += [(CONSISTENCY * (mean(f"{a}_{b}") - mean(a) * mean(b))).alias(f"c_{a}_{b}") for a, b in pairs]
+    return _factor(parts.select(*keys, *moments), names).withColumn("__now", reduce(lambda s, n: s + 2 * F.log(f"l_{n}_{n}"), names, F.lit(0.0)))
+
+
 def estimates(stats: DataFrame) -> DataFrame:
     """One row per pool ``__g``: medians ``c0_*``, centre ``m_*`` and Cholesky factor ``l_*_*`` of its core."""
     names = list(STATISTICS)
     base = stats.where(~F.col("base_failed") & F.col("__g").isNotNull())
+    texts = materialize(base.select("__g", "text_hash", *{c: None for n in names for c in STATISTICS[n][:2]}).distinct())
     ratio = lambda n: F.coalesce(F.try_divide(F.col(STATISTICS[n][0]), F.col(STATISTICS[n][1])), F.lit(0.0))
-    medians = materialize(base.groupBy("__g").agg(*[F.percentile_approx(ratio(n), 0.5, 1000).alias(f"c0_{n}") for n in names]))
-    vectors = base.join(medians, "__g").select("__g", *[_shrunk(n, F.col(f"c0_{n}")).alias(f"z_{n}") for n in names])
-    # start: nearest in the floors' scale, which repeats and symbols cannot inflate
-    model = medians.select("__g", *[F.lit(0.0).alias(f"m_{n}") for n in names], *[F.lit(1.0 if a == b else 0.0).alias(f"l_{a}_{b}") for i, a in enumerate(names) for b in names[: i + 1]])
-    for a in names:
-        model = model.withColumn(f"l_{a}_{a}", F.lit(STATISTICS[a][2]))
-    for _ in range(STEPS):
-        near = _with_distance(vectors.join(model, "__g"), names, "__d").select("__g", "__d", *[f"z_{n}" for n in names])
-        edge = materialize(near.groupBy("__g").agg(F.percentile_approx("__d", CORE, 1000).alias("__edge")))
-        core = near.join(edge, "__g").where(F.col("__d") <= F.col("__edge"))
-        model = materialize(_factor(core.groupBy("__g").agg(*_moments(names)), names))
-    return medians.join(model, "__g")
+    medians = materialize(texts.groupBy("__g").agg(*[F.percentile_approx(ratio(n), 0.5, 10000).alias(f"c0_{n}") for n in names]))
+    vectors = materialize(texts.join(medians, "__g").select("__g", *[_shrunk(n, F.col(f"c0_{n}")).alias(f"z_{n}") for n in names]))
+    going, found = _starts(vectors, names), None
+    while True:
+        # stored first: a filter pushed into the factor would write its terms out many times over
+        fell = materialize(_concentrated(vectors, going, names)).where(F.col("__now") < F.col("__last") - FALL)
+        found = fell if found is None else found.unionByName(fell)
+        if fell.isEmpty():
+            break
+        going = fell.withColumn("__last", F.col("__now")).drop("__now")
+    model = [*[f"m_{n}" for n in names], *[f"l_{a}_{b}" for a, b in _pairs(names)]]
+    least = materialize(found.groupBy("__g").agg(F.min(F.struct("__now", "__start", *model)).alias("__best")))
+    return medians.join(least.select("__g", *[f"__best.{c}" for c in model]), "__g")
 
 
 def judged(documents: DataFrame, keep: list[str]) -> DataFrame:
@@ -173,7 +238,7 @@ def judged(documents: DataFrame, keep: list[str]) -> DataFrame:
     names = list(STATISTICS)
     counts = ["n_words", "word_chars", "n_symbols", "n_marks", "n_lines", "n_dup_lines", "n_echoes", "n_repeat_words"]
     narrow = documents.select(*{c: None for c in [*keep, "lang", "source", "text"]})
-    stats = materialize(with_counts(narrow).withColumn("base_failed", base_failed()).select(*{c: None for c in [*keep, "lang", "source"]}, *counts, "base_failed"))
+    stats = materialize(with_counts(narrow).withColumn("base_failed", base_failed()).select(*{c: None for c in [*keep, "lang", "source"]}, "text_hash", *counts, "base_failed"))
     stats = _grouped(stats)
     model = materialize(estimates(stats))
     placed = stats.join(model, "__g", "left").withColumns({f"z_{n}": _shrunk(n, F.col(f"c0_{n}")) for n in names})

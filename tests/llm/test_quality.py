@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from shopsight.llm import quality
@@ -77,3 +78,48 @@ def test_odd_rows(odd_docs, docs_of):
 def test_runs_without_python(odd_docs):
     plan = quality.report(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def with_junk(rows, junk, share, copies):
+    """Rows of one group, of which the share is junk: copies of one text, or texts of their own."""
+    rng = random.Random(9)
+    good = [(i, text, "en", "s") for i, text, _, _ in rows]
+    n = round(len(good) * share / (1 - share))
+    words = [["".join(rng.choice("abcdefghij") for _ in range(5)) + ("#" if rng.random() < junk else "") for _ in range(100)] for _ in range(n)]
+    return good, [(len(good) + i, " ".join(words[0 if copies else i]), "en", "s") for i in range(n)]
+
+
+@pytest.mark.parametrize(("share", "copies"), [(0.26, True), (0.34, True), (0.34, False), (0.45, False), (0.6, True)])
+def test_rejects_junk_that_is_a_large_part_of_a_group(docs_of, share, copies):
+    good, junk = with_junk(corpus(300, 0), 0.61, share, copies)
+    out = {r["doc_id"]: r["kept"] for r in quality.report(docs_of(good + junk)).collect()}
+    assert not any(out[i] for i, *_ in junk) and all(out[i] for i, *_ in good)
+
+
+def test_least_determinant_against_numpy(docs_of):
+    """The estimate is a fixed point of concentration, and no worse than from many random starts."""
+    good, junk = with_junk(corpus(119, 0), 0.61, 0.3, False)
+    names = list(quality.STATISTICS)
+    stats = quality._grouped(quality.with_counts(docs_of(good + junk)).withColumn("base_failed", quality.base_failed()).drop("text"))
+    (m,) = [r.asDict() for r in quality.estimates(stats).collect()]
+    rows = stats.toPandas()
+    z = np.column_stack([(rows[quality.STATISTICS[n][0]] / rows[quality.STATISTICS[n][1]] - m[f"c0_{n}"]) * np.sqrt(rows.n_words / (rows.n_words + quality.SHRINK)) for n in names])
+    floors = np.diag([quality.STATISTICS[n][2] ** 2 for n in names])
+    half = (len(z) + 1) // 2
+
+    def concentrate(centre, covariance):
+        d = (z - centre) @ np.linalg.inv(covariance)
+        core = z[np.argsort((d * (z - centre)).sum(axis=1), kind="stable")[:half]]
+        return core.mean(axis=0), quality.CONSISTENCY * np.cov(core.T, bias=True) + floors
+
+    low = np.array([[m.get(f"l_{a}_{b}", 0.0) for b in names] for a in names])
+    found = np.array([m[f"m_{n}"] for n in names]), low @ low.T
+    assert all(np.allclose(a, b, rtol=1e-6, atol=1e-9) for a, b in zip(found, concentrate(*found)))
+    rng, dets = np.random.default_rng(1), []
+    for _ in range(50):
+        some = z[rng.choice(len(z), 7, replace=False)]
+        model = some.mean(axis=0), np.cov(some.T, bias=True) + floors
+        for _ in range(30):
+            model = concentrate(*model)
+        dets.append(np.linalg.slogdet(model[1])[1])
+    assert np.linalg.slogdet(found[1])[1] <= min(dets) + 0.05
