@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from conftest import make_fct
+from helpers import make_fct
 from shopsight.operators import eda, features, marts, metrics
 
 

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import make_fct
+from helpers import make_fct
 from shopsight.operators import features
 
 T0 = dt.datetime(2020, 1, 1, 10, 0)

@@ -94,7 +94,7 @@ def test_csv_without_free_text_is_split(spark, tmp_path):
 
 def test_warehouse_from_csv(spark, tmp_path):
     """Nine CSV files to eight marts, with the rows that the test tables give."""
-    from conftest import SF_SMALL
+    from helpers import SF_SMALL
     from pyspark.sql import functions as F
     from shopsight.plans.warehouse import Warehouse, build
     from shopsight.sources.schemas import RAW_SCHEMAS

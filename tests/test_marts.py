@@ -7,7 +7,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from conftest import SF_CHECK, make_fct
+from helpers import SF_CHECK, make_fct
 from shopsight.operators import marts
 from shopsight.operators.staging import Staging
 from shopsight.plans.warehouse import Warehouse

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from compare import digest, duck_frame, spark_frame
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 
 ORACLE = E.oracle_sql()
 QUERIES = E.queries()

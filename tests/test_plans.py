@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from conftest import SF_CHECK
+from helpers import SF_CHECK
 from shopsight.plans.warehouse import Warehouse
 from shopsight.session import cluster_conf
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SF_SMALL
+from helpers import SF_SMALL
 from shopsight.operators import quality
 from shopsight.plans.analysis import _dq_tables
 

@@ -7,7 +7,7 @@ import datetime as dt
 import pandas as pd
 from pyspark.sql import functions as F
 
-from conftest import make_fct
+from helpers import make_fct
 from shopsight.operators import features, marts
 
 T0 = dt.datetime(2020, 1, 1)
