@@ -19,9 +19,15 @@ WORD_SPACES = " \t\n\x0b\f\r"
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Rows that go to a Python worker at once; whole texts may be long.
+BATCH_ROWS = 1_000
+
+
 def prepare(spark: SparkSession) -> None:
-    """Session state that every query needs: the shared checkpoint folder, and workers that find this package where the driver has it."""
+    """Session state that every query needs: the shared checkpoint folder, workers that find this package where the driver has it, and batches of few whole texts."""
     ensure_checkpoint_dir(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(shopsight.__file__).resolve().parent.parent))
 
 

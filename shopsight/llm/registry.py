@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopsight.llm import bpe, fingerprints, html_text, licenses, mixing, ngram_join, quality, sharding, token_counts, toxicity
+from shopsight.llm import bpe, fingerprints, html_text, licenses, minhash_dedup, mixing, ngram_join, quality, sharding, token_counts, toxicity
 from shopsight.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_html_extraction")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+@query("op13_minhash_dedup")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.components(table(spark, sf_dir, "documents"))
