@@ -116,7 +116,7 @@ def smaller_groups(opened: DataFrame, nodes: DataFrame, sets: DataFrame, percent
     )
     # the leader's component links only outwards; the others with it and with one another
     meets = lambda side: F.coalesce((F.col("x") >= F.col(f"w_{side}")) & (F.col("w") <= F.col(f"x_{side}")), F.lit(False))
-    able = shared.join(materialize(best), "grp").where(meets("out") | (~inside & meets("in")))
+    able = shared.join(best, "grp").where(meets("out") | (~inside & meets("in")))
     least = F.when(inside, F.col("w_out")).otherwise(F.least("w_in", "w_out"))
     need = F.greatest(F.lit(1), F.ceil((F.col("w") + least) / F.lit(2 * up)))
     able = able.select("grp", "node", "label", F.explode(F.slice("held", 1, F.greatest(F.lit(0), F.size("held") - need + 1).cast("int"))).alias("h"))
@@ -124,7 +124,7 @@ def smaller_groups(opened: DataFrame, nodes: DataFrame, sets: DataFrame, percent
     lists = able.groupBy("grp", "e").agg(*membership(), F.min("label").alias("low"), F.max("label").alias("high")).where("n_members > 1 AND low <> high")
     one = lists.groupBy("n_members", "digest", "second").agg(F.min(F.struct("grp", "e")).alias("k"))
     one = one.select(F.col("k.grp").alias("grp"), F.col("k.e").alias("e"))
-    return materialize(able.join(materialize(one), ["grp", "e"]).select(F.xxhash64("grp", "e").alias("grp"), "node"))
+    return materialize(able.join(one, ["grp", "e"]).select(F.xxhash64("grp", "e").alias("grp"), "node"))
 
 
 def membership() -> list[Column]:
@@ -148,7 +148,7 @@ def closed(groups: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, m
     links = labels = None
     while True:
         top = groups.join(nodes.select("node", "weight"), "node").groupBy("grp").agg(F.max(F.struct("weight", "node")).alias("top"))
-        stars = groups.join(materialize(top.select("grp", F.col("top.node").alias("lead"))), "grp").where(F.col("node") != F.col("lead"))
+        stars = groups.join(top.select("grp", F.col("top.node").alias("lead")), "grp").where(F.col("node") != F.col("lead"))
         if labels is None:  # groups of one leader are one group
             stars = stars.select(F.col("lead").alias("grp"), "node", "lead").distinct()
         stars = materialize(stars.select("grp", "node", "lead"))
