@@ -1,8 +1,10 @@
 """Components of a similarity join whose candidates come in groups, without comparing all members of a group.
 
 A group is any list of sets among which links may exist (the sets under one
-index entry). Each round compares the members of a group with one leader. What
-a leader leaves open rests on a property of symmetric differences: with ``d(A)``
+index entry). Each round compares the members of a group with one leader. Groups
+whose other members are then in one component are closed. Of the open ones, those
+of up to ``BLOCK`` members are settled in a task, member by member. What a leader
+leaves open in larger ones rests on a property of symmetric differences: with ``d(A)``
 the shingles in which A differs from the leader, two members with disjoint
 ``d(A)`` and ``d(B)`` differ in ``|d(A)| + |d(B)|`` shingles, and so, if they link
 with one another, both link with the leader. Links that a leader does not show
@@ -16,8 +18,6 @@ with ``t = (1 - s) / (1 + s)`` at likeness s, and ``|d(A) & d(B)|`` is at most
 the number of A's shingles of d that another member has; members that meet this
 with no other component of their group leave. Those that stay index only so
 many of their rarest shingles of d that a linked pair must share one of them.
-
-Groups whose members are in one component are closed and cost nothing more.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from shopsight.llm.components import least_labels
 from shopsight.llm.shingles import as_set
 from shopsight.session import materialize
 
+#: Members of an open group that are compared with one another in one task.
+BLOCK = 64
 #: Rows that a task sends on at once.
 CHUNK = 50_000
 
@@ -45,6 +47,9 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+Estimate = Callable[[np.ndarray, np.ndarray], bool]
+
+
 def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
     """Add the shingles of both sets as set_a and set_b."""
     for column, name in ((a, "set_a"), (b, "set_b")):
@@ -52,17 +57,41 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
     return pairs
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) of sets that link, decided on the whole sets; stored."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, may_link: Estimate) -> DataFrame:
+    """Those pairs (a, b) of sets that ``may_link`` does not rule out and that link as whole sets; stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [linked(as_set(a), as_set(b), percent) for a, b in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            both = zip(*([as_set(x) for x in batch.column(c).to_pylist()] for c in ("set_a", "set_b")))
+            yield batch.select(["a", "b"]).filter(pa.array([may_link(a, b) and linked(a, b, percent) for a, b in both], pa.bool_()))
 
     return materialize(_with_sets(pairs, sets, "a", "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint"))
 
 
+def within_blocks(members: DataFrame, sets: DataFrame, percent: int, may_link: Estimate) -> DataFrame:
+    """Links (a, b) that join the components of each group; stored.
+
+    ``members`` has grp, node and label. A group has ``BLOCK`` members at most, and
+    members that are already in one component are not compared.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        node, label = (group.column(c).to_pylist() for c in ("node", "label"))
+        shingles = [as_set(x) for x in group.column("shingles").to_pylist()]
+        found: list[tuple[int, int]] = []
+        for i in range(len(node)):
+            for j in range(i):
+                a, b = shingles[i], shingles[j]
+                if label[i] != label[j] and 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) and may_link(a, b) and linked(a, b, percent):
+                    found.append((node[i], node[j]))
+                    label = [label[i] if x == label[j] else x for x in label]
+        return pa.table([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    held = members.select("grp", "node", "label").join(sets.select("node", "shingles"), "node")
+    return materialize(held.groupBy("grp").applyInArrow(run, "a bigint, b bigint"))
+
+
 def _labelled(df: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
     """Add a node's label; a node without one is its own."""
     of = labels.select(F.col("node").alias(node), F.col("label").alias(label))
@@ -94,17 +123,17 @@ def _differences(opened: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("grp", "node", "set_a", "set_b").mapInArrow(run, "grp bigint, node bigint, apart bigint, e bigint")
 
 
-def smaller_groups(opened: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def smaller_groups(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """grp and node of the groups in which links that a leader did not show must lie; stored.
 
-    ``opened`` has grp, node, lead and the labels label and lead_label.
+    ``opened`` has grp, node, n_shingles, lead and the labels label and lead_label.
     """
     up, down = 100 + percent, 100 - percent
     apart = materialize(_differences(opened, sets))
     common = apart.groupBy("grp", "e").agg(F.count("*").alias("times")).where("times > 1")
     held = F.sort_array(F.collect_list(F.struct("times", "e"))).alias("held")
     shared = apart.join(common, ["grp", "e"]).groupBy("grp", "node").agg(F.first("apart").alias("apart"), held)
-    shared = _members(shared, opened, nodes)
+    shared = shared.join(opened.select("grp", "node", "label", "lead_label", "n_shingles"), ["grp", "node"])
     w = up * F.col("apart") - down * F.col("n_shingles")
     shared = materialize(shared.withColumn("w", w).withColumn("x", 2 * up * F.size("held") - w))
     inside = F.col("label") == F.col("lead_label")
@@ -132,36 +161,40 @@ def membership() -> list[Column]:
     return [F.count("*").alias("n_members"), F.bit_xor(F.xxhash64("node")).alias("digest"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("second")]
 
 
-def _members(shared: DataFrame, opened: DataFrame, nodes: DataFrame) -> DataFrame:
-    known = opened.select("grp", "node", "label", "lead_label")
-    return shared.join(known, ["grp", "node"]).join(nodes.select("node", "n_shingles"), "node")
-
-
-def closed(groups: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, may_link: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def closed(groups: DataFrame, sets: DataFrame, percent: int, may_link: Estimate) -> tuple[DataFrame, DataFrame]:
     """Labels (node, label) of the components over all links within groups, and the links that prove them.
 
-    ``groups`` has grp and node, ``nodes`` node, n_shingles and weight (the
-    heaviest member of a group leads it), ``sets`` the stored sets of all members;
-    ``may_link`` drops pairs (a, b) that cannot link. Nodes without a link have no
-    label. An empty table of groups gives empty results.
+    ``groups`` has grp and node; ``sets`` node, n_shingles, shingles and weight of
+    all members (the heaviest member of a group leads it); ``may_link`` drops pairs
+    of sets that do not link before they are compared as a whole. Nodes without a
+    link have no label. An empty table of groups gives empty results.
     """
     links = labels = None
     while True:
-        top = groups.join(nodes.select("node", "weight"), "node").groupBy("grp").agg(F.max(F.struct("weight", "node")).alias("top"))
-        stars = groups.join(top.select("grp", F.col("top.node").alias("lead")), "grp").where(F.col("node") != F.col("lead"))
-        if labels is None:  # groups of one leader are one group
-            stars = stars.select(F.col("lead").alias("grp"), "node", "lead").distinct()
-        stars = materialize(stars.select("grp", "node", "lead"))
-        pairs = stars if labels is None else _labelled(_labelled(stars, labels, "node", "x"), labels, "lead", "y").where("x <> y")
-        pairs = materialize(may_link(pairs.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()))
-        found = verified(pairs, sets, percent)
-        links = found if links is None else materialize(links.unionByName(found))
+        members = groups.join(sets.select("node", "n_shingles", "weight"), "node")
+        top = members.groupBy("grp").agg(F.max(F.struct("weight", "node", "n_shingles")).alias("top"))
+        stars = members.join(top, "grp").where(F.col("node") != F.col("top.node"))
+        stars = materialize(stars.select("grp", "node", "n_shingles", F.col("top.node").alias("lead"), F.col("top.n_shingles").alias("lead_n")))
+        if stars.isEmpty():
+            if links is None:
+                links = stars.select(F.col("node").alias("a"), F.col("lead").alias("b"))
+            return least_labels(links, "a", "b"), links
+        near = 100 * F.least("n_shingles", "lead_n") >= percent * F.greatest("n_shingles", "lead_n")
+        pairs = stars.where(near).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+        if labels is not None:
+            pairs = _labelled(_labelled(pairs, labels, "a", "x"), labels, "b", "y").where("x <> y")
+        found = verified(pairs, sets, percent, may_link)
+        links = found if links is None else links.unionByName(found)
+        first = labels is None
         labels = least_labels(links, "a", "b")
-        placed = materialize(_labelled(_labelled(stars, labels, "node", "label"), labels, "lead", "lead_label"))
-        still = placed.where("label <> lead_label").select("grp").distinct()
-        opened = materialize(placed.join(still, "grp", "left_semi"))
-        if opened.isEmpty():
-            return labels, links
-        groups = smaller_groups(opened, nodes, sets, percent)
-        if groups.isEmpty():
-            return labels, links
+        placed = _labelled(stars, labels, "node", "label")
+        still = placed.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rest"))
+        opened = materialize(placed.join(still.where("low <> high").select("grp", "rest"), "grp"))
+        small, large = opened.where(F.col("rest") <= BLOCK), opened.where(F.col("rest") > BLOCK)
+        links = links.unionByName(within_blocks(small, sets, percent, may_link))
+        if large.isEmpty():
+            return least_labels(links, "a", "b"), links
+        if first:  # groups of one leader are one group
+            large = large.withColumn("grp", F.col("lead")).dropDuplicates(["grp", "node"])
+        large = materialize(_labelled(large, labels, "lead", "lead_label"))
+        groups = smaller_groups(large, sets, percent)

@@ -18,6 +18,8 @@ def least_labels(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     pairs = edges.select(F.col(a).alias("node"), F.col(b).alias("other"))
     pairs = materialize(pairs.unionByName(pairs.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
+    if pairs.isEmpty():
+        return pairs.select("node", F.col("other").alias("label"))
     labels = materialize(pairs.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")))
     while True:
         heard = pairs.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("heard"))

@@ -54,11 +54,12 @@ def _bucket(doc_id: Column) -> tuple[Column, Column]:
     return F.pmod(h, F.lit(BITMAP_WORDS)), F.pmod(F.shiftright(h, 24), F.lit(64)).cast("int")
 
 
-def stored_sets(documents: DataFrame, holders: DataFrame, shingles: Callable[[str], np.ndarray]) -> DataFrame:
+def stored_sets(documents: DataFrame, holders: DataFrame, shingles: Callable[[str], np.ndarray], keep: tuple[str, ...] = ()) -> DataFrame:
     """node and shingles (little-endian unsigned 64-bit integers, sorted) of every wanted set, as a stored table.
 
     ``documents`` has doc_id and text, ``holders`` node, holder (a doc_id) and
-    holder_hash (xxhash64 of the text, which tells rows of one id apart). A bitmap
+    holder_hash (xxhash64 of the text, which tells rows of one id apart); ``keep``
+    names bigint columns of it that the result has too. A bitmap
     of the holders' ids, of bounded size, leaves most other texts where they are;
     the join after it decides.
     """
@@ -68,14 +69,14 @@ def stored_sets(documents: DataFrame, holders: DataFrame, shingles: Callable[[st
     near = documents.select("doc_id", "text", row.alias("__row"), bit.alias("__bit")).join(F.broadcast(bitmap), "__row")
     near = near.where(F.call_function("shiftrightunsigned", F.col("__bits"), F.col("__bit")).bitwiseAND(F.lit(1)) == 1)
     same = F.col("doc_id").eqNullSafe(F.col("holder")) & (F.xxhash64("text") == F.col("holder_hash"))
-    texts = near.select("doc_id", "text").join(holders.select("node", "holder", "holder_hash"), same).select("node", "text").dropDuplicates(["node"])
+    texts = near.select("doc_id", "text").join(holders, same).select("node", *keep, "text").dropDuplicates(["node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t).astype("<u8").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", *keep)), pa.array(sets, pa.binary())], names=["node", *keep, "shingles"])
 
-    return materialize(texts.mapInArrow(run, "node bigint, shingles binary"))
+    return materialize(texts.mapInArrow(run, ", ".join(f"{c} bigint" for c in ("node", *keep)) + ", shingles binary"))
 
 
 def as_set(blob: bytes) -> np.ndarray:
