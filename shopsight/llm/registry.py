@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopsight.llm import bpe, fingerprints, html_text, licenses, minhash_dedup, mixing, ngram_join, quality, sharding, token_counts, toxicity
+from shopsight.llm import bpe, collocations, fingerprints, html_text, licenses, minhash_dedup, mixing, ngram_join, quality, sharding, spelling, token_counts, toxicity
 from shopsight.llm.common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_minhash_dedup")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.components(table(spark, sf_dir, "documents"))
+
+
+@query("op11_collocations", collocations.ORACLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
