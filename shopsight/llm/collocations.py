@@ -9,7 +9,10 @@ row for each of them and its size, are routed by their leading words, so a very
 common word or pair arrives as one row from each task and never as its
 occurrences. Where all rows of the same leading words meet, the same sort runs
 over them by weight and abandons every partition that weighs less than ``LEAST``,
-whatever is left to sort in it; the others are the frequent phrases. Scores need counts
+whatever is left to sort in it; the others are the frequent phrases. This goes
+one depth at a time, and suffixes of abandoned partitions are not sorted deeper:
+a bitmap of bounded size tells all tasks which phrases of the depth before are
+frequent (a false hit costs a row and changes no count). Scores need counts
 of a candidate's parts, which are frequent as well: joins of these tables.
 
 Words and phrases are named by 64-bit hashes until the end.
@@ -44,6 +47,8 @@ WITHIN_PERCENT = 50
 TOP = 2_000
 #: Words that a task sorts at once.
 CHUNK = 400_000
+#: Bits of the bitmap of frequent phrases.
+BITS = 1 << 26
 #: Partitions of so few pointers are sorted by comparison.
 SMALL = 4_096
 
@@ -120,47 +125,56 @@ def _sorted_small(pointers: np.ndarray, keys: np.ndarray, weights: np.ndarray, d
             yield depth + d + 1, pointers[start[keep]], weight[keep]
 
 
-def _routes(keys: np.ndarray, parts: int) -> np.ndarray:
-    """The part of phrases, by all their words."""
-    h = np.full(keys.shape[1], len(keys), np.uint64)
+def _names(lang: str, keys: np.ndarray) -> np.ndarray:
+    """64-bit names of phrases, by their language and all their words."""
+    h = np.full(keys.shape[1], xxhash.xxh3_64_intdigest(lang) ^ len(keys), np.uint64)
     for k in keys:
         h = (h ^ k) * _ODD[0]
         h = (h ^ (h >> np.uint64(31))) * _ODD[1]
-    return ((h >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+    return h ^ (h >> np.uint64(29))
+
+
+def _among(names: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    bit = names % np.uint64(8 * len(bitmap))
+    return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 SENT = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("depth", pa.int32()), ("keys", pa.binary()), ("weights", pa.binary()), ("words", pa.list_(pa.binary()))])
-FOUND = "lang string, depth int, h1 bigint, h2 bigint, h3 bigint, n bigint, word string"
+FOUND = "lang string, depth int, h1 bigint, h2 bigint, h3 bigint, name bigint, n bigint, word string"
 
 
-def _sent(lang: str, tokens: list[bytes], parts: int) -> pa.RecordBatch:
-    """A task's phrases and their counts, a row for each part and depth; at depth 0 the number of words."""
+def _sent(lang: str, tokens: list[bytes], depth: int, frequent: np.ndarray | None, parts: int) -> pa.RecordBatch:
+    """A task's phrases of one depth and their counts, a row for each part; with depth 1, at depth 0, the number of words."""
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens)) | np.uint64(1)  # 0 is none
     mark = np.uint64(xxhash.xxh3_64_intdigest(_MARK)) | np.uint64(1)
-    keys = suffix_keys(hashes, mark)
-    rows = [(xxhash.xxh3_64_intdigest(lang) % parts, lang, 0, b"", np.array([keys.shape[1]], "<u8").tobytes(), None)]
-    name = dict(zip(hashes.tolist(), tokens))
-    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
-    for depth, pointers, weights in partitions(keys, np.ones(keys.shape[1], np.int64), 1):
-        found[depth].append((pointers, weights))
-    for depth, some in found.items():
-        own = keys[:depth, np.concatenate([p for p, _ in some])]
-        weights = np.concatenate([w for _, w in some])
-        part = _routes(own, parts)
+    keys = suffix_keys(hashes, mark)[:depth]
+    rows = []
+    if depth == 1:
+        rows.append((xxhash.xxh3_64_intdigest(lang) % parts, lang, 0, b"", np.array([keys.shape[1]], "<u8").tobytes(), None))
+        name = dict(zip(hashes.tolist(), tokens))
+    else:
+        keys = keys[:, keys[-1] != 0]
+        keys = keys[:, _among(_names(lang, keys[:-1]), frequent)]
+        keys = keys[:, _among(_names(lang, keys[1:]), frequent)]
+    found = list(partitions(keys, np.ones(keys.shape[1], np.int64), 1, depth))
+    if found:
+        own = keys[:, np.concatenate([p for _, p, _ in found])]
+        weights = np.concatenate([w for _, _, w in found])
+        part = ((_names(lang, own) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
         order = np.lexsort((own[0], part))
         own, weights, part = own[:, order], weights[order], part[order]
         edges = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(part)]):
             words = [name[h] for h in own[0, a:b].tolist()] if depth == 1 else None
             rows.append((int(part[a]), lang, depth, own[:, a:b].tobytes(), weights[a:b].astype("<u4").tobytes(), words))
-    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), SENT)], schema=SENT)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(SENT)], schema=SENT)
 
 
 def _met(lang: str, depth: int, rows: list[tuple[bytes, bytes, list[bytes] | None]], least: int) -> pa.RecordBatch:
     """Frequent phrases of one depth in one part."""
     if depth == 0:
         total = sum(int(np.frombuffer(w, "<u8")[0]) for _, w, _ in rows)
-        columns = [[lang], [0], [0], [0], [0], [total], [None]]
+        columns = [[lang], [0], [0], [0], [0], [0], [total], [None]]
     else:
         keys = np.concatenate([np.frombuffer(k, "<u8").reshape(depth, -1) for k, _, _ in rows], axis=1)
         weights = np.concatenate([np.frombuffer(w, "<u4") for _, w, _ in rows]).astype(np.int64)
@@ -173,14 +187,26 @@ def _met(lang: str, depth: int, rows: list[tuple[bytes, bytes, list[bytes] | Non
             words = [name[k].decode() for k in keys[0, pointers].tolist()]
         else:
             words = [None] * len(n)
-        columns = [[lang] * len(n), [depth] * len(n), *h, n, words]
-    types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["lang", "depth", "h1", "h2", "h3", "n", "word"])
+        columns = [[lang] * len(n), [depth] * len(n), *h, _names(lang, keys[:, pointers]).view(np.int64), n, words]
+    types = [pa.string(), pa.int32(), *[pa.int64()] * 5, pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["lang", "depth", "h1", "h2", "h3", "name", "n", "word"])
 
 
-def frequent_phrases(documents: DataFrame, least: int = LEAST) -> DataFrame:
-    """lang, depth, h1 to h3, n and (of single words) word of all phrases of up to DEPTH words that occur ``least`` times; at depth 0 the words of a language. Stored."""
-    parts = 4 * shuffle_width(documents.sparkSession)
+def _bitmap(found: DataFrame) -> np.ndarray:
+    """The names of frequent phrases as BITS bits, eight a byte."""
+    bit = F.pmod("name", F.lit(BITS)).cast("int")  # BITS is a power of two: the sign does not matter
+    held = found.select(F.call_function("div", bit, F.lit(64)).alias("at"), (bit % 64).alias("bit"))
+    held = held.groupBy("at").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits")).toArrow()
+    out = np.zeros(BITS // 64, "<i8")
+    out[held.column("at").to_numpy()] = held.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def phrases_of_depth(documents: DataFrame, depth: int, before: DataFrame | None, least: int) -> DataFrame:
+    """The rows of ``frequent_phrases`` with one depth, where ``before`` has those of the depth before; stored."""
+    spark = documents.sparkSession
+    parts = 4 * shuffle_width(spark)
+    frequent = spark.sparkContext.broadcast(None if before is None else _bitmap(before))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = defaultdict(list)
@@ -191,20 +217,20 @@ def frequent_phrases(documents: DataFrame, least: int = LEAST) -> DataFrame:
                 held[lang] += words
                 size += len(words)
                 if size >= CHUNK:
-                    yield from (_sent(x, tokens, parts) for x, tokens in held.items())
+                    yield from (_sent(x, tokens, depth, frequent.value, parts) for x, tokens in held.items())
                     held.clear()
                     size = 0
-        yield from (_sent(x, tokens, parts) for x, tokens in held.items())
+        yield from (_sent(x, tokens, depth, frequent.value, parts) for x, tokens in held.items())
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come ordered by part, language and depth
         last, rows = None, []
         for batch in batches:
-            for part, lang, depth, keys, weights, words in zip(*(c.to_pylist() for c in batch.columns)):
-                if last != (part, lang, depth):
+            for part, lang, d, keys, weights, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if last != (part, lang, d):
                     if rows:
                         yield _met(last[1], last[2], rows, least)
-                    last, rows = (part, lang, depth), []
+                    last, rows = (part, lang, d), []
                 rows.append((keys, weights, words))
         if rows:
             yield _met(last[1], last[2], rows, least)
@@ -214,6 +240,14 @@ def frequent_phrases(documents: DataFrame, least: int = LEAST) -> DataFrame:
     return materialize(sent.repartition("part").sortWithinPartitions("part", "lang", "depth").mapInArrow(meet, FOUND))
 
 
+def frequent_phrases(documents: DataFrame, least: int = LEAST) -> DataFrame:
+    """lang, depth, h1 to h3, name, n and (of single words) word of all phrases of up to DEPTH words that occur ``least`` times; at depth 0 the words of a language."""
+    found = [phrases_of_depth(documents, 1, None, least)]
+    for depth in range(2, DEPTH + 1):
+        found.append(phrases_of_depth(documents, depth, found[-1].where("depth > 0"), least))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def _score(a: str, left: str, right: str) -> Column:
     """floor(1000000 a a / (left right)), exactly."""
     wide = lambda c: F.col(c).cast("decimal(19,0)")
@@ -227,7 +261,7 @@ def collocations(documents: DataFrame, least: int = LEAST, top: int = TOP) -> Da
     total = found.where("depth = 0").groupBy("lang").agg(F.sum("n").alias("n"))
     one = found.where("depth = 1")
     words = lambda i: one.select("lang", F.col("h1").alias(f"h{i}"), F.col("word").alias(f"w{i}"), F.col("n").alias(f"f{i}"))
-    two, three = (found.where(F.col("depth") == d).withColumnRenamed("n", "a").drop("word", "depth") for d in (2, 3))
+    two, three = (found.where(F.col("depth") == d).withColumnRenamed("n", "a").drop("word", "depth", "name") for d in (2, 3))
     pairs = lambda i: two.select("lang", F.col("h1").alias(f"h{i}"), F.col("h2").alias(f"h{i + 1}"), F.col("a").alias(f"p{i}"))
 
     # the counts of the most frequent triples that start or end with a pair

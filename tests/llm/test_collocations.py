@@ -52,8 +52,9 @@ def texts(seed, n):
     return out
 
 
-@pytest.mark.parametrize("chunk, small", [(400_000, 4096), (500, 3)])
-def test_against_brute_force(docs_of, monkeypatch, chunk, small):
+@pytest.mark.parametrize("chunk, small, bits", [(400_000, 4096, 1 << 26), (500, 3, 64)])
+def test_against_brute_force(docs_of, monkeypatch, chunk, small, bits):
+    monkeypatch.setattr(co, "BITS", bits)
     monkeypatch.setattr(co, "CHUNK", chunk)
     monkeypatch.setattr(co, "SMALL", small)
     rows = texts(small, 120)
