@@ -205,7 +205,7 @@ def _bitmap(found: DataFrame) -> np.ndarray:
 def phrases_of_depth(documents: DataFrame, depth: int, before: DataFrame | None, least: int) -> DataFrame:
     """The rows of ``frequent_phrases`` with one depth, where ``before`` has those of the depth before; stored."""
     spark = documents.sparkSession
-    parts = 4 * shuffle_width(spark)
+    parts = 2 * shuffle_width(spark)
     frequent = spark.sparkContext.broadcast(None if before is None else _bitmap(before))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
