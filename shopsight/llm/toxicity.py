@@ -14,8 +14,11 @@ at most ``TRAIN_ROWS * KEPT`` of them. Nothing but the text enters a score.
 
 Defined cases: a null text is empty; an empty text scores the fitted intercept;
 texts shorter than an n-gram have the n-grams they have; rows labelled twice
-count twice; labels without a document and null labels are ignored; if the sample lacks a
-class, every score is the share of toxic rows, or 0 without rows.
+count twice; labels without a document and null labels are ignored; ties between
+buckets go to the lower one; very long texts are taken whole; without rows of both
+classes, or without an n-gram that ``MIN_TEXTS`` texts have, every score is the
+share of toxic rows but below 0.5, so nothing is called toxic; columns other than
+doc_id and text are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +44,10 @@ MIN_TEXTS = 3
 FOLDS = 5
 #: Toxic rows are few; each counts so many times in the fit.
 TOXIC_WEIGHT = 3.0
+#: Parts of the sample for the shift of its log odds.
+SHIFT_FOLDS = 3
+#: Log odds that a model without kept n-grams gives at most: it calls nothing toxic.
+NO_EVIDENCE = -1e-6
 #: Strength of the penalty on weights, and rounds of the fit.
 PENALTY = 2e-4
 ROUNDS = 250
@@ -140,16 +147,35 @@ def _fit(row: np.ndarray, column: np.ndarray, label: np.ndarray, ratio: np.ndarr
     return float(weight[k]), weight[:k] * ratio
 
 
+def _shift(row: np.ndarray, column: np.ndarray, label: np.ndarray, ratio: np.ndarray) -> float:
+    """What takes the bias of the weighted fit off the log odds: rows scored by fits without them get as many toxic ones in sum as they are."""
+    n, part = len(label), np.arange(len(label)) % SHIFT_FOLDS
+    odds = np.empty(n)
+    for fold in range(SHIFT_FOLDS):
+        rest, place = part != fold, np.cumsum(part != fold) - 1
+        used = rest[row]
+        intercept, effect = _fit(place[row[used]], column[used], label[rest], ratio)
+        odds[~rest] = intercept + np.bincount(row, weights=effect[column], minlength=n)[~rest]
+    low, high = -20.0, 20.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        if (1 / (1 + np.exp(-np.clip(odds + middle, -500, 500)))).sum() < label.sum():
+            low = middle
+        else:
+            high = middle
+    return middle
+
+
 def train(documents: DataFrame, labels: DataFrame) -> Model:
     rows = materialize(training_rows(documents, labels))
     counts = class_counts(rows).where((F.col("bucket") < 0) | (F.col("toxic") + F.col("clean") >= MIN_TEXTS)).toArrow()
     bucket, toxic, clean = (counts.column(c).to_numpy() for c in ("bucket", "toxic", "clean"))
     n1, n0 = int(toxic[bucket < 0].sum()), int(clean[bucket < 0].sum())
     table, kept = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, bool)
-    if not n1 or not n0:
-        return Model(500.0 if n1 else -500.0, table, kept)
     real = bucket >= 0
-    chosen, ratio = _choose(bucket[real], toxic[real], clean[real], n1, n0)
+    chosen, ratio = _choose(bucket[real], toxic[real], clean[real], n1, n0) if n1 and n0 else ([], [])
+    if not len(chosen):
+        return Model(min(float(np.log((n1 + 0.5) / (n0 + 0.5))), NO_EVIDENCE), table, kept)
     kept[chosen] = True
     place = np.full(BUCKETS, -1, np.int64)
     place[chosen] = np.arange(len(chosen))
@@ -168,9 +194,10 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     label = (some.column("toxic").to_numpy()[order] != 0).astype(np.float64)
     row = np.repeat(rank, sizes)
     by = np.lexsort((flat, row))
-    intercept, effect = _fit(row[by], flat[by].astype(np.int64), label, ratio)
+    cells = row[by], flat[by].astype(np.int64), label, ratio
+    intercept, effect = _fit(*cells)
     table[chosen] = effect
-    return Model(intercept, table, kept)
+    return Model(intercept + _shift(*cells), table, kept)
 
 
 def scored(documents: DataFrame, model: Model, out: str = "score") -> DataFrame:

@@ -70,3 +70,19 @@ def test_odd_rows(odd_docs, docs_of, spark, fitted):
     assert toxicity.report(docs_of([]), marks).count() == 0
     clash = toxicity.scored(odd_docs.drop("source").withColumnRenamed("lang", "toxic"), fitted[2])
     assert clash.columns == ["doc_id", "text", "toxic", "n_chars", "score"] and clash.count() == odd_docs.count()
+
+
+def test_indistinct_texts_score_their_share_of_toxic_rows(spark, docs_of):
+    """The weight of toxic rows in the fit is taken off again."""
+    rng = random.Random(5)
+    docs = docs_of([(i, " ".join(rng.choice(["red", "blue", "green"]) for _ in range(12))) for i in range(400)])
+    labels = spark.createDataFrame([(i, 1, int(i % 10 < 3)) for i in range(400)], "doc_id bigint, quality int, toxic int")
+    rows = toxicity.report(docs, labels).toPandas()
+    assert abs(rows["score"].mean() - 0.3) < 0.06 and (rows["predicted"] == 1).mean() < 0.1
+
+
+def test_without_evidence_nothing_is_toxic(spark, docs_of):
+    docs = docs_of([(1, "one"), (2, "two"), (3, "three"), (4, None)])
+    for rows in ([], [(1, 1, 1), (2, 1, 1), (3, 1, 1)], [(1, 1, 1), (2, 1, 0)]):
+        got = toxicity.report(docs, spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")).collect()
+        assert len(got) == 4 and all(r["predicted"] == 0 and 0 <= r["score"] < 0.5 for r in got)
