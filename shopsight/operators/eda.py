@@ -1,21 +1,22 @@
 """Exploratory statistics over the marts: rates, exact quantiles, histograms, pivots.
 
-Quantiles are exact and distributed: values are collapsed to (value, count),
-running counts come from the range-bucketed ``prefix_sums``, and the rows that
-hold the target ranks are picked with a broadcast join against a frame of a
-few quantile targets. No task ever holds all values of a column.
+Quantiles are exact and distributed: the values at the target ranks are selected
+by narrowing intervals, a few aggregates over a stored column. No task ever holds
+all values of a column, and none is moved.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopsight.functions import bool_rate, clip, exact_avg, month_start
-from shopsight.operators.rank import prefix_sums
+from shopsight.operators.select import values_at
 
 DIGITS = 12
 
@@ -79,52 +80,31 @@ def late_rate(fct: DataFrame) -> DataFrame:
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = (), **rank_opts) -> DataFrame:
     """Exact quantiles with linear interpolation (position q * (n - 1)); one row per (group, q).
 
-    Distinct (group, value) pairs with their counts are ranked by distributed
-    prefix sums along (group, value); a value covers the 0-based ranks
-    [cum - cnt, cum) of its group. Each value row is checked against the few
-    q targets in place. No task holds all values of a group.
+    The values at the ranks around each position are selected by narrowing
+    intervals (``select``), all groups in the same passes; no row is moved by its
+    group and no task holds all values of one. Groups are few (column names,
+    clusters): a row for each of them reaches the driver. Groups without a value
+    have no row.
     """
     from shopsight.session import materialize
 
     by = list(by)
-    vc = (
-        df.filter(F.col(col).isNotNull())
-        .groupBy(*by, F.col(col).alias("v"))
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
-    vc = materialize(vc)  # read by the count, the cut-point sample, bucket totals and the ranked pass
-    keys = [(b, "asc", "first") for b in by] + [("v", "asc", "first")]
-    ranked = prefix_sums(vc, keys, {"cnt": F.col("cnt")}, **rank_opts)
-    if by:
-        groups = ranked.groupBy(*by).agg(
-            F.min(F.col("cum_cnt") - F.col("cnt")).alias("_g0"), F.sum("cnt").alias("_gn")
-        )
-        ranked = ranked.join(groups, by).withColumn("cum_cnt", F.col("cum_cnt") - F.col("_g0")).withColumn(
-            "tot_cnt", F.col("_gn")
-        )
-    pos = F.col("q") * (F.col("tot_cnt") - 1)
-    start = F.col("cum_cnt") - F.col("cnt")
-    covers = lambda idx: (start <= idx) & (idx < F.col("cum_cnt"))
-    hits = (
-        ranked.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
-        .withColumn("_pos", pos)
-        .withColumn("_lo", F.floor(pos))
-        .withColumn("_hi", F.ceil(pos))
-        .withColumn("_is_lo", covers(F.col("_lo")))
-        .withColumn("_is_hi", covers(F.col("_hi")))
-        .filter(F.col("_is_lo") | F.col("_is_hi"))
-    )
-    v = F.col("v").cast("double")
-    per_q = hits.groupBy(*by, "q").agg(
-        F.max(F.when(F.col("_is_lo"), v)).alias("v_lo"),
-        F.max(F.when(F.col("_is_hi"), v)).alias("v_hi"),
-        F.first("_pos").alias("_pos"),
-        F.first("_lo").alias("_lo"),
-    )
-    frac = F.col("_pos") - F.col("_lo")
-    return per_q.select(
-        *by, "q", F.round(F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * frac, DIGITS).alias("value")
-    )
+    values = materialize(df.filter(F.col(col).isNotNull()).select(*by, F.col(col).alias("v")))  # read once a round
+    groups = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    wanted, bounds, rows = [], {}, []
+    for g in groups.where("n > 0").collect():
+        name = tuple(g[b] for b in by)
+        own = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.lit(v)) for b, v in zip(by, name)], F.lit(True))
+        bounds[name] = (g["lo"], g["hi"])
+        for q in qs:
+            pos = float(q) * (g["n"] - 1)
+            wanted += [(name, own, math.floor(pos)), (name, own, math.ceil(pos))]
+            rows.append((*name, float(q), pos - math.floor(pos)))
+    found = [float(v) for v, _ in values_at(values, "v", wanted, bounds)]
+    rows = [(*r, low, high) for r, low, high in zip(rows, found[::2], found[1::2])]
+    fields = [values.schema[b] for b in by] + [T.StructField(c, T.DoubleType()) for c in ("q", "frac", "v_lo", "v_hi")]
+    per_q = df.sparkSession.createDataFrame(rows, T.StructType(fields))
+    return per_q.select(*by, "q", F.round(F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("frac"), DIGITS).alias("value"))
 
 
 def approx_quantiles(df: DataFrame, col: str, qs: Sequence[float], accuracy: int = 10_000) -> DataFrame:

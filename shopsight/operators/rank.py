@@ -16,6 +16,9 @@ Keys must end with a unique column so the order is total: then heavy ties
 (most people have frequency 1) cannot pile up in one bucket, and the result is
 deterministic. Sort keys are normalised into one ascending struct column with
 explicit NULL placement, so comparisons and sorting agree on the order.
+
+Tiles and top fractions need only a few keys of the order; :func:`keys_at` selects
+them without buckets (see ``select``).
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shopsight.operators.select import rows_at
+
 KeySpec = tuple[str, str, str]  # (column, 'asc'|'desc', 'first'|'last')
 
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
@@ -133,24 +138,14 @@ class RangeBuckets:
 def keys_at(stats: DataFrame, keys: Sequence, ranks: Sequence[int], n_rows: int | None = None, **opts) -> dict[int, Column]:
     """The sort keys at some 0-based ranks of a total order, as literals (ranks beyond the end are left out).
 
-    Selection without a full sort: the rows are counted per range bucket, and only
-    the buckets that hold a wanted rank are sorted. The bucket counts and one key
-    per rank reach the driver.
+    Selected by narrowing intervals (``select``): one key per wanted rank, whatever the number of rows.
     """
-    buckets = RangeBuckets(stats, keys, n_rows=n_rows, **opts)
-    keyed = stats.select(sort_key(stats, buckets.keys).alias(_SK), buckets.bucket(stats).alias(_BKT))
-    before, wanted = 0, {}
-    for row in sorted(keyed.groupBy(_BKT).count().collect(), key=lambda r: r[_BKT]):
-        for rank in ranks:
-            if before <= rank < before + row["count"]:
-                wanted.setdefault(row[_BKT], {})[rank - before + 1] = rank
-        before += row["count"]
-    if not wanted:
-        return {}
-    local = F.row_number().over(Window.partitionBy(_BKT).orderBy(_SK))
-    hit = reduce(lambda x, y: x | y, [(F.col(_BKT) == b) & F.col("_local").isin(list(at)) for b, at in wanted.items()])
-    found = keyed.where(F.col(_BKT).isin(list(wanted))).withColumn("_local", local).where(hit).collect()
-    return {wanted[r[_BKT]][r["_local"]]: _struct_literal(r[_SK], buckets.struct_type) for r in found}
+    keys = [_norm(k) for k in keys]
+    keyed = stats.select(sort_key(stats, keys).alias(_SK))
+    struct_type = keyed.schema[_SK].dataType
+    flags = {f"n{i}": nulls == "last" for i, (_, _, nulls) in enumerate(keys)}
+    found = rows_at(keyed.select(f"{_SK}.*"), struct_type.names, ranks, flags)
+    return {rank: _struct_literal(row, struct_type) for rank, row in found.items()}
 
 
 def _ranked(df: DataFrame, buckets: RangeBuckets, stats: DataFrame) -> DataFrame:
