@@ -17,11 +17,11 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shopsight.functions import calendar_days, exact_sum, money_sum, month_start, months_between_starts, safe_divide
+from shopsight.functions import calendar_days, exact_sum, money_sum, month_start, safe_divide
 from shopsight.operators.intermediate import int_item_totals, int_payment_totals, int_review_aggregated
 from shopsight.operators.rank import tile_of
 from shopsight.operators.staging import Staging
@@ -226,29 +226,53 @@ def category_performance(stg: Staging, fct: DataFrame | None = None) -> DataFram
     return by_order.join(sold, same).drop("_c", "_m").orderBy("category", "month")
 
 
+def active_months(orders: DataFrame) -> DataFrame:
+    """customer_unique_id and words: the months of a person's orders as bits.
+
+    A month is a number (months since January 1970); word ``w`` holds the months 64 w
+    to 64 w + 63, one bit each, and a person has the words with a bit set (one or two for
+    most, any number for long spans). Bits are merged by ``bit_or`` in the tasks, so
+    a person with a huge order history leaves a task as one row a word. A missing date is
+    a null word; persons without an id are left out.
+    """
+    month = 12 * (F.year("purchased_date") - 1970) + F.month("purchased_date") - 1
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(month, F.lit(64)))
+    words = (
+        orders.where(F.col("customer_unique_id").isNotNull())
+        .groupBy("customer_unique_id", F.floor(month / 64).cast("int").alias("word"))
+        .agg(F.bit_or(bit).alias("bits"))
+    )
+    return words.groupBy("customer_unique_id").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
+
+
+def _months_of(words: Column) -> Column:
+    """The months of all bits, a null word as a null month."""
+    bits = F.sequence(F.lit(0), F.lit(63))
+    is_set = lambda w, i: F.call_function("shiftright", w["bits"], i).bitwiseAND(F.lit(1)) == 1
+    of_word = lambda w: F.transform(F.filter(bits, lambda i: is_set(w, i)), lambda i: w["word"] * 64 + i)
+    return F.flatten(F.transform(words, lambda w: F.when(w["word"].isNull(), F.array(F.lit(None).cast("int"))).otherwise(of_word(w))))
+
+
 def customer_cohorts(fct: DataFrame) -> DataFrame:
     """Cohort retention: first purchase month per person, active persons per month offset.
 
-    Orders are first reduced to distinct (person, activity month) pairs, keyed on
-    both columns, so a person with a huge order history is at most one row per
-    month before the join with the per-person cohort month.
+    Persons are reduced to the bits of their active months, and equal bit patterns
+    (all buyers of one month, say) to one row with their number before the bits
+    are read: the lowest bit is the cohort, the others are offsets from it.
     """
-    v = valid_orders(fct)
-    person_month = v.select(
-        "customer_unique_id", month_start("purchased_date").alias("activity_month")
-    ).distinct()
-    first = person_month.groupBy("customer_unique_id").agg(F.min("activity_month").alias("cohort_month"))
-    cohort_size = first.groupBy("cohort_month").agg(F.count("customer_unique_id").alias("cohort_size"))
+    patterns = active_months(valid_orders(fct)).groupBy("words").agg(F.count("*").alias("n"))
+    months = _months_of(F.col("words"))
     activity = (
-        person_month.join(first, "customer_unique_id")
-        .withColumn("months_since_first", months_between_starts("activity_month", "cohort_month"))
-        .groupBy("cohort_month", "months_since_first")
-        .agg(F.count("customer_unique_id").alias("active_customers"))
+        patterns.select("n", F.array_min(months).alias("first"), F.explode(months).alias("month"))
+        .where("first IS NOT NULL")
+        .groupBy("first", (F.col("month") - F.col("first")).cast("long").alias("months_since_first"))
+        .agg(F.sum("n").alias("active_customers"))
     )
+    size = F.max(F.when(F.col("months_since_first") == 0, F.col("active_customers"))).over(Window.partitionBy("first"))
     return (
-        activity.join(cohort_size, "cohort_month")
+        activity.withColumn("cohort_size", size)
         .select(
-            "cohort_month",
+            F.add_months(F.lit("1970-01-01").cast("date"), F.col("first")).alias("cohort_month"),
             "cohort_size",
             "months_since_first",
             "active_customers",

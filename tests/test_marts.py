@@ -111,3 +111,33 @@ def test_cohort_pivot_keeps_every_offset(spark, monkeypatch):
         assert matrix.columns == ["cohort_month", *map(str, range(offsets))]
         cells = {k: v for r in matrix.collect() for k, v in r.asDict().items() if k != "cohort_month" and v is not None}
         assert cells == {str(i): 1.0 for i in (0, 1, 120) if i < offsets}
+
+
+def test_cohorts_of_spans_beyond_a_word(spark):
+    """Months as bits: spans over 64 months, months before 1970, missing dates and missing ids, against sets of months."""
+    import random
+
+    from shopsight.operators import marts
+
+    rng = random.Random(6)
+    rows = []
+    for person in [*range(40), None]:
+        for _ in range(rng.choice([1, 1, 2, 30])):
+            ts = dt.datetime(rng.choice([1964, 1969, 1970, 1999, 2020]) + rng.randint(0, 6), rng.randint(1, 12), rng.randint(1, 28))
+            rows.append({"customer_unique_id": person, "purchased_at": None if rng.random() < 0.1 else ts})
+    rows.append({"customer_unique_id": 99, "purchased_at": None})
+    months: dict = {}
+    for r in rows:
+        ts = r["purchased_at"]
+        if r["customer_unique_id"] is not None:
+            months.setdefault(r["customer_unique_id"], set()).add(None if ts is None else 12 * ts.year + ts.month - 1)
+    expected: dict = {}
+    for own in months.values():
+        known = [m for m in own if m is not None]
+        for m in own if known else []:
+            at = (min(known), None if m is None else m - min(known))
+            expected[at] = expected.get(at, 0) + 1
+    got = marts.customer_cohorts(make_fct(spark, rows)).collect()
+    assert {(12 * r["cohort_month"].year + r["cohort_month"].month - 1, r["months_since_first"]): r["active_customers"] for r in got} == expected
+    assert all(r["cohort_size"] == expected[(12 * r["cohort_month"].year + r["cohort_month"].month - 1, 0)] for r in got)
+    assert max(o for _, o in expected if o is not None) > 128

@@ -54,3 +54,13 @@ def test_second_order_keeps_two_rows_per_person_and_task(spark):
     plan = _plan(features.second_orders(Warehouse.from_test_tables(spark, SF_CHECK).fct_orders))
     limits = re.findall(r"WindowGroupLimit .*, (Partial|Final)", plan)
     assert "Partial" in limits and "Join" not in plan.split("WindowGroupLimit")[0]
+
+
+def test_cohorts_need_no_join(spark):
+    wh = Warehouse.from_test_tables(spark, SF_CHECK)
+    from shopsight.operators import marts
+    from shopsight.session import materialize
+
+    fact = materialize(wh.fct_orders.select("customer_unique_id", "purchased_date", "status"))
+    plan = _plan(marts.customer_cohorts(fact))
+    assert "Join" not in plan and "Expand" not in plan
