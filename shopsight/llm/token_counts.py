@@ -8,16 +8,23 @@ number of tokens so cut off. Both are computed beforehand, so a word is counted
 in one pass: a step either reads a character or follows a link and adds its
 number. No piece is ever built.
 
-A word that the vocabulary cannot build counts as one unknown token. Defined
-cases: null and empty texts have no tokens; words are those between ASCII white
-space, lower-cased. Words are counted once per worker and kept in a bounded memo.
+A vocabulary with an end-of-word suffix has two kinds of tokens: those with it
+match only up to a word's end, the others only before it. A node therefore has a
+second number: the tokens of a word's end that is the node's string.
+
+A word that the vocabulary cannot build counts as one unknown token. Words are
+those between ASCII white space, lower-cased; they are counted once per worker and
+kept in a bounded memo. Defined cases: null and empty texts have no tokens; very
+long texts are taken whole, one at a time; repeated rows get equal results, and
+ties cannot occur; columns other than the key and text are not read, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,39 +37,55 @@ MEMO_WORDS = 400_000
 
 
 class LongestMatch:
-    """The trie of a vocabulary: ``next[node]`` by character, ``link[node]`` and ``popped[node]``."""
+    """The trie of a vocabulary: ``next[node]`` by character, ``link[node]``, ``popped[node]`` and ``ended[node]``.
 
-    def __init__(self, vocabulary: list[str]):
+    Tokens that end in ``suffix`` stand at a word's end only, the others before it
+    only; without a suffix every token may stand anywhere.
+    """
+
+    def __init__(self, vocabulary: Iterable[str], suffix: str = ""):
         self.next: list[dict[str, int]] = [{}]
-        token = [False]
-        text = [""]
-        for word in sorted(v for v in set(vocabulary) if v):
+        # may stand before a word's end; may stand at it
+        inner, final = [False], [False]
+        for word in sorted(set(vocabulary)):
+            ends = word.endswith(suffix)
+            word = word.removesuffix(suffix)
+            if not word:
+                continue
             node = 0
             for c in word:
                 child = self.next[node].get(c)
                 if child is None:
                     child = self.next[node][c] = len(self.next)
                     self.next.append({})
-                    token.append(False)
-                    text.append(text[node] + c)
+                    inner.append(False)
+                    final.append(False)
                 node = child
-            token[node] = True
+            final[node] |= ends
+            inner[node] |= not ends or not suffix
         # link -1: no way on; the root has none
         self.link = [-1] * len(self.next)
         self.popped = [0] * len(self.next)
+        # tokens of a word's end that is the node's string, cut from its start; -1: it cannot be built
+        self.ended = [-1] * len(self.next)
+        self.ended[0] = 0
         queue = deque((0, c, child) for c, child in self.next[0].items())
         while queue:
             parent, c, node = queue.popleft()
-            if token[node]:
+            # the tokens cut off the parent's string, then more until the character can follow
+            at, count = self.link[parent], self.popped[parent]
+            while at >= 0 and c not in self.next[at]:
+                count += self.popped[at]
+                at = self.link[at]
+            if inner[node]:
                 self.link[node], self.popped[node] = 0, 1
-            else:
-                # the tokens cut off the parent's string, then more until the character can follow
-                at, count = self.link[parent], self.popped[parent]
-                while at >= 0 and c not in self.next[at]:
-                    count += self.popped[at]
-                    at = self.link[at]
-                if at >= 0:
-                    self.link[node], self.popped[node] = self.next[at][c], count
+            elif at >= 0:
+                self.link[node], self.popped[node] = self.next[at][c], count
+            if final[node]:
+                self.ended[node] = 1
+            elif at >= 0 and self.ended[self.next[at][c]] > 0:
+                # a shorter string, so it is known
+                self.ended[node] = count + self.ended[self.next[at][c]]
             queue.extend((node, d, child) for d, child in self.next[node].items())
 
     def count(self, word: str) -> int | None:
@@ -76,20 +99,17 @@ class LongestMatch:
                 if node < 0:
                     return None
             node = step[node][c]
-        while node > 0:
-            total += popped[node]
-            node = link[node]
-        return total if node == 0 else None
+        end = self.ended[node]
+        return None if end < 0 else total + end
 
 
 class WordCounter:
-    """Counts for whole words, over byte characters; a token may stand anywhere in a word."""
+    """Counts for whole words, over byte characters."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
-        suffix = model["end_of_word_suffix"]
-        self.machine = LongestMatch([v.removesuffix(suffix) for v in model["vocab"]])
+        self.machine = LongestMatch(model["vocab"], model.get("end_of_word_suffix") or "")
         self._bytes = byte_characters()
         self._memo: dict[bytes, int] = {}
 

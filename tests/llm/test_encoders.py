@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -94,6 +95,44 @@ def test_longest_match_against_greedy():
             assert machine.count(word) == greedy(vocabulary, word), (vocabulary, word)
 
 
+def greedy_to_the_end(vocabulary, suffix, word):
+    """Longest token at each place; the piece that ends the word carries the suffix, no other does."""
+    n = at = 0
+    while at < len(word):
+        ends = range(len(word), at, -1)
+        end = next((e for e in ends if word[at:e] + (suffix if e == len(word) else "") in vocabulary), None)
+        if end is None:
+            return None
+        at, n = end, n + 1
+    return n
+
+
+def test_longest_match_honours_the_suffix():
+    rng = random.Random(3)
+    built = 0
+    for _ in range(600):
+        vocabulary = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) + rng.choice(["", "$"]) for _ in range(rng.randint(1, 30))}
+        vocabulary |= {c + "$" for c in "abc" if rng.random() < 0.7} | {c for c in "abc" if rng.random() < 0.7}
+        machine = token_counts.LongestMatch(sorted(vocabulary), "$")
+        for _ in range(40):
+            word = "".join(rng.choice("abcd" if rng.random() < 0.1 else "abc") for _ in range(rng.randint(0, 25)))
+            assert machine.count(word) == greedy_to_the_end(vocabulary, "$", word), (vocabulary, word)
+            built += machine.count(word) is not None
+    assert built > 5_000
+
+
+def test_counts_equal_greedy_over_the_files_own_vocabulary(own):
+    path = bpe.vocabulary_path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    counter, chars = token_counts.WordCounter(path), bpe.byte_characters()
+    for text in TEXTS[2:5] + samples()[:150]:
+        for word in set(text.lower().encode().split()):
+            word = word[:300]
+            expected = greedy_to_the_end(model["vocab"], model["end_of_word_suffix"], "".join(chars[b] for b in word))
+            assert counter.count(word) == (1 if expected is None else expected), word
+
+
 def test_counted_rows(odd_docs, docs_of):
     out = token_counts.counted(odd_docs).collect()
     assert len(out) == odd_docs.count()
