@@ -2,14 +2,22 @@
 
 Every page is parsed to a tree, and every element's subtree is hashed (tag, class
 and id, texts, children). Spark counts per host on how many pages with different
-articles each subtree stands; subtrees that stand on many of them are the site's
-template and are deleted wherever they occur on that host. What a template does
-not show, such as on hosts of few pages, tags, roles and class names of page furniture do.
+articles each subtree stands. Outside articles, a subtree on ``MIN_PAGES`` of them
+or more is the site's template, however many pages the host has, and is deleted
+wherever it occurs there on that host; inside articles it must stand on
+the share ``MIN_SHARE`` of the host's articles too. What a template does not show,
+such as on hosts of few pages, tags, roles and class names of page furniture do.
 
 The article is the page's ``article`` or ``main`` element, else its body. Inside
 an article, paragraphs and headings are never template: texts may repeat
-sentences. Pages with one article text count once, so copies of a page make no
-template of it.
+sentences. Its title block stays, whatever its class. Pages with one article text count
+once, so copies of a page make no template of it.
+
+A class or id is furniture if all its parts between hyphens and underscores are
+names of furniture or of places and boxes (``site-header``, ``comment-list``), and
+one is of furniture; ``no-sidebar``, ``has-comments`` and ``share-price`` are not. Paragraphs
+and headings are furniture by the names of adverts and notices only, article
+elements by those of reader comments only.
 
 Text rules: character references are decoded, white space inside a block becomes
 one space, blocks are trimmed and joined in page order by one space; inline tags
@@ -17,7 +25,10 @@ separate nothing.
 
 Defined cases: a null or empty page has an empty text; a page without an address
 belongs to the host ''; unclosed, misnested and unknown tags are read as browsers
-read them, as far as text order goes; repeated rows get equal results.
+read them, as far as text order goes; very long pages are taken whole, one at a time;
+repeated rows get equal results; of counts equal to a threshold the subtree goes; columns
+other than page_id, url and html are not read, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,8 +44,9 @@ from pyspark.sql import functions as F
 
 from shopsight.session import materialize
 
-#: A subtree is template if it stands on so many pages with different articles, and on this share of a host's.
+#: A subtree is template if it stands on so many pages of a host with different articles,
 MIN_PAGES = 4
+#: and, inside an article, on this share of them.
 MIN_SHARE = 0.25
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.DOTALL)
@@ -49,22 +61,40 @@ BLOCKS = set(
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ENDS_P = BLOCKS - {"body", "html", "caption", "legend", "option", "tbody", "td", "tfoot", "th", "thead", "tr"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PROSE_BLOCKS = HEADINGS | {"p", "blockquote", "pre"}
 #: Never template inside an article.
-PROSE = HEADINGS | {"p", "blockquote", "pre", "b", "i", "em", "strong", "a", "span", "code", "q", "cite", "sub", "sup", "u", "mark", "small"}
+PROSE = PROSE_BLOCKS | {"b", "i", "em", "strong", "a", "span", "code", "q", "cite", "sub", "sup", "u", "mark", "small"}
 
 FURNITURE_TAGS = RAW | set("head nav footer aside form button select input dialog menu svg canvas object audio video map".split())
 FURNITURE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-FURNITURE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr"
-    r"|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|overlay|popup|promo|promoted|promotion"
-    r"|recommended|related|replies|reply|respond|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.IGNORECASE,
+# Names of furniture in classes and ids, by what they mark; each also stands in the plural.
+NOTICES = set("ad advert advertisement advertising banner consent cookie gdpr notice notification popup promo promoted promotion sponsor sponsored".split())
+COMMENTS = set("comment commentlist disqus reply replies respond".split())
+TITLES = set("header masthead".split())
+FURNITURE = NOTICES | COMMENTS | set(
+    "breadcrumb footer menu modal nav navbar navigation newsletter overlay recommended related share sharing sidebar signup skip social subscribe toolbar widget".split()
+)
+# Words that leave a name of furniture what it is.
+PLACES = set(
+    "area author banner bar block body bottom box button buttons children column container content desktop first fixed form global group holder"
+    " icons inner item items last left link links list main mobile nav outer page panel primary right rail secondary section site slot sticky"
+    " text thread to top unit wrap wrapper".split()
 )
+NAME_PARTS = re.compile(r"[a-z]+|[0-9]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
+def named(names: str, kinds: set[str]) -> bool:
+    """Whether a class or id of the list names something of these kinds."""
+    for name in names.lower().split():
+        parts = [p if p in kinds else p.removesuffix("s") for p in NAME_PARTS.findall(name)]
+        if any(p in kinds for p in parts) and all(p in kinds or p in PLACES or p + "s" in PLACES or p.isdigit() for p in parts):
+            return True
+    return False
+
+
 class Node:
-    __slots__ = ("tag", "names", "furniture", "children", "digest", "has_text", "holds_main")
+    __slots__ = ("tag", "names", "furniture", "title", "children", "digest", "has_text", "is_main", "holds_main")
 
     def __init__(self, tag: str, attributes: str):
         found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
@@ -73,14 +103,16 @@ class Node:
         self.furniture = tag not in ("html", "body", "main") and (
             tag in FURNITURE_TAGS
             or found.get("role", "").lower() in FURNITURE_ROLES
-            or bool(self.names and FURNITURE_NAMES.search(self.names))
+            or bool(self.names and named(self.names, COMMENTS if tag == "article" else NOTICES if tag in PROSE_BLOCKS else FURNITURE))
             or "hidden" in found
             or bool(HIDDEN.search(found.get("style", "")))
         )
+        # a title block: furniture outside an article
+        self.title = tag == "header" or bool(self.names and tag not in ("html", "body", "main", "article") and tag not in PROSE_BLOCKS and named(self.names, TITLES))
         self.children: list[Node | str] = []
         self.digest = 0
         self.has_text = False
-        self.holds_main = tag in ("article", "main") or found.get("role", "").lower() == "main"
+        self.is_main = self.holds_main = tag in ("article", "main") or found.get("role", "").lower() == "main"
 
 
 def parse(page: str) -> Node:
@@ -161,7 +193,7 @@ def _mains(root: Node) -> list[Node]:
             node = todo.pop()
             inner = [c for c in node.children if isinstance(c, Node) and c.holds_main]
             inner = [c for c in inner if not c.furniture or (through_furniture and c.tag != "article")]
-            if node.tag == "article" or (node is not root and node.holds_main and not inner):
+            if node.is_main and (node.tag == "article" or not inner):
                 found.append(node)
             else:
                 todo.extend(reversed(inner))
@@ -170,8 +202,11 @@ def _mains(root: Node) -> list[Node]:
     return [root]
 
 
-def _candidates(root: Node, mains: list[Node]) -> Iterator[Node]:
-    """Elements that can be template: outside an article all with text that do not hold it, inside it those that are not prose."""
+def _candidates(root: Node, mains: list[Node]) -> Iterator[tuple[Node, bool]]:
+    """Elements that can be template, and whether they are inside an article.
+
+    Outside all with text that do not hold the article, inside those that are not prose.
+    """
     main_ids = {id(m) for m in mains if m is not root}
     todo = [(root, False)]
     while todo:
@@ -180,13 +215,13 @@ def _candidates(root: Node, mains: list[Node]) -> Iterator[Node]:
         for child in node.children:
             if isinstance(child, Node):
                 if child.has_text and not child.holds_main and id(child) not in main_ids and not (inside and child.tag in PROSE):
-                    yield child
+                    yield child, inside
                 todo.append((child, inside))
 
 
 def article_text(root: Node, mains: list[Node], template: set[int]) -> str:
-    """The joined blocks of the article."""
-    gone = {id(n) for n in _candidates(root, mains) if n.digest in template} if template else set()
+    """The joined blocks of the article, without subtrees whose hashes are in ``template``."""
+    gone = {id(n) for n, _ in _candidates(root, mains) if n.digest in template} if template else set()
     blocks: list[str] = []
     run: list[str] = []
 
@@ -204,7 +239,7 @@ def article_text(root: Node, mains: list[Node], template: set[int]) -> str:
                 flush()
             elif isinstance(item, str):
                 run.append(item)
-            elif item is not main and (item.furniture or id(item) in gone or (item.tag == "header" and main is root)):
+            elif item is not main and (item.furniture or id(item) in gone or (item.title and main is root)):
                 if item.tag in BLOCKS:
                     flush()
             elif item.tag == "br":
@@ -224,34 +259,50 @@ def host_of(url: str = "url") -> Column:
     return F.lower(F.coalesce(F.nullif(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")), F.lit("")))
 
 
-def host_templates(pages: DataFrame) -> DataFrame:
-    """host and template: the hashes of the subtrees that the host repeats."""
+def _placed(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, host and page (a hash of the html) of every page."""
+    html = F.coalesce("html", F.lit(""))
+    return pages.select("page_id", "url", html.alias("html"), host_of().alias("host"), F.xxhash64(html).alias("page"))
+
+
+def subtrees(pages: DataFrame) -> DataFrame:
+    """host, page, article (a hash of its text), subtree, inside and shown: each different candidate of each page, and a row without one.
+
+    ``shown``: it would be part of the page's text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for host, page in zip(*(batch.column(c).to_pylist() for c in ("host", "html"))):
+            for host, name, page in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html"))):
                 root = parse(page)
                 mains = _mains(root)
                 article = xxhash.xxh3_64_intdigest(article_text(root, mains, set()).encode("utf-8", "surrogatepass")) - (1 << 63)
-                rows += [(host, article, digest) for digest in {n.digest for n in _candidates(root, mains)}]
-                rows.append((host, article, None))
-            columns = list(zip(*rows)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["host", "article", "subtree"])
-
-    seen = pages.select(host_of().alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "host string, article bigint, subtree bigint")
-    counts = materialize(seen.distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")))
-    totals = counts.where(F.col("subtree").isNull()).select("host", F.col("n").alias("pages"))
+                whole = mains == [root]
+                rows += [(host, name, article, digest, inside, inside or whole) for digest, inside in {(n.digest, inside) for n, inside in _candidates(root, mains)}]
+                rows.append((host, name, article, None, False, False))
+            columns = list(zip(*rows)) or [[]] * 6
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["host", "page", "article", "subtree", "inside", "shown"])
+
+    return _placed(pages).select("host", "page", "html").mapInArrow(run, "host string, page bigint, article bigint, subtree bigint, inside boolean, shown boolean")
+
+
+def host_templates(found: DataFrame) -> DataFrame:
+    """host, subtree and inside of the subtrees that the host repeats; ``found`` as of ``subtrees``."""
+    counts = materialize(found.select("host", "article", "subtree", "inside").distinct().groupBy("host", "subtree", "inside").agg(F.count("*").alias("n")))
+    totals = counts.where(F.col("subtree").isNull()).select("host", F.col("n").alias("articles"))
     often = counts.where(F.col("subtree").isNotNull() & (F.col("n") >= MIN_PAGES)).join(materialize(totals), "host")
-    # at most a page's elements divided by the share, per host
-    return often.where(F.col("n") >= MIN_SHARE * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_set("subtree")).alias("template"))
+    return often.where(~F.col("inside") | (F.col("n") >= MIN_SHARE * F.col("articles"))).select("host", "subtree", "inside")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    templates = materialize(host_templates(pages))
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host"))
-    placed = rows.join(templates, "host", "left").select("page_id", "url", "html", "template")
+    found = materialize(subtrees(pages))
+    repeated = found.where("shown").join(materialize(host_templates(found)), ["host", "subtree", "inside"], "left_semi")
+    # at most a page's elements; pages without any have no row
+    templates = materialize(repeated.groupBy("host", "page").agg(F.collect_set("subtree").alias("template")))
+    rows = _placed(pages).join(templates, ["host", "page"], "left").select("page_id", "url", "html", "template")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,4 +314,4 @@ def extracted(pages: DataFrame) -> DataFrame:
             counts = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), counts], names=["page_id", "url", "text", "n_chars"])
 
-    return placed.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
