@@ -2,16 +2,17 @@
 
 A group is any list of sets among which links may exist (the sets under one
 index entry). Each round compares the members of a group with one leader. Groups
-whose other members are then in one component are closed. Of the open ones, those
-of up to ``BLOCK`` members are settled in a task, member by member. What a leader
+whose other members are then in one component are closed. Open groups of one leader
+become one, so a pair of leader and member goes on once, whatever number of entries
+it shares. Of these, those of up to ``BLOCK`` members are settled in a task, member by member. What a leader
 leaves open in larger ones rests on a property of symmetric differences: with ``d(A)``
 the shingles in which A differs from the leader, two members with disjoint
 ``d(A)`` and ``d(B)`` differ in ``|d(A)| + |d(B)|`` shingles, and so, if they link
 with one another, both link with the leader. Links that a leader does not show
 are therefore between members that share a shingle of ``d``. These meet again in
 smaller groups, one for each such shingle, and the next round gives these groups
-leaders of their own. A group's leader is in none of its smaller groups, so
-rounds end.
+leaders of their own. A group's leader is its heaviest member and in none of its
+smaller groups, whose leaders are lighter, so rounds end.
 
 Few members get that far. A link needs ``2 |d(A) & d(B)| >= |d(A)| + |d(B)| - t (|A| + |B|)``
 with ``t = (1 - s) / (1 + s)`` at likeness s, and ``|d(A) & d(B)|`` is at most
@@ -185,16 +186,16 @@ def closed(groups: DataFrame, sets: DataFrame, percent: int, may_link: Estimate)
             pairs = _labelled(_labelled(pairs, labels, "a", "x"), labels, "b", "y").where("x <> y")
         found = verified(pairs, sets, percent, may_link)
         links = found if links is None else links.unionByName(found)
-        first = labels is None
         labels = least_labels(links, "a", "b")
         placed = _labelled(stars, labels, "node", "label")
-        still = placed.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rest"))
-        opened = materialize(placed.join(still.where("low <> high").select("grp", "rest"), "grp"))
+        still = placed.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        # open groups of one leader are one group
+        merged = placed.join(still.select("grp"), "grp", "left_semi").withColumn("grp", F.col("lead")).dropDuplicates(["grp", "node"])
+        merged = materialize(merged)
+        opened = materialize(merged.join(merged.groupBy("grp").agg(F.count("*").alias("rest")), "grp"))
         small, large = opened.where(F.col("rest") <= BLOCK), opened.where(F.col("rest") > BLOCK)
         links = links.unionByName(within_blocks(small, sets, percent, may_link))
         if large.isEmpty():
             return least_labels(links, "a", "b"), links
-        if first:  # groups of one leader are one group
-            large = large.withColumn("grp", F.col("lead")).dropDuplicates(["grp", "node"])
         large = materialize(_labelled(large, labels, "lead", "lead_label"))
         groups = smaller_groups(large, sets, percent)
