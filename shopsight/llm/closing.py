@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopsight.llm.components import least_labels
-from shopsight.llm.shingles import as_set
+from shopsight.llm.shingles import as_set, least_difference
 from shopsight.session import materialize
 
 #: Members of an open group that are compared with one another in one task.
@@ -58,14 +58,34 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
     return pairs
 
 
+def _near_by_parity(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets that do not differ in too many shingles by their parities, which drop no linked pair; stored."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("parity").alias(f"parity_{side}")), side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = [x + y for x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b")))]
+            both = zip(*([np.frombuffer(x, np.uint8) for x in batch.column(c).to_pylist()] for c in ("parity_a", "parity_b")))
+            near = [(100 - percent) * n >= (100 + percent) * least_difference(x, y) for n, (x, y) in zip(total, both)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    columns = ["a", "b", *(f"{c}_{side}" for c in ("n", "parity") for side in ("a", "b"))]
+    return materialize(pairs.select(*columns).mapInArrow(run, "a bigint, b bigint"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, may_link: Estimate) -> DataFrame:
-    """Those pairs (a, b) of sets that ``may_link`` does not rule out and that link as whole sets; stored."""
+    """Those pairs (a, b) of sets that ``may_link`` does not rule out and that link as whole sets; stored.
+
+    Whole sets travel only for pairs whose parities, a 64th to a 32nd of their size, leave a link possible.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = zip(*([as_set(x) for x in batch.column(c).to_pylist()] for c in ("set_a", "set_b")))
             yield batch.select(["a", "b"]).filter(pa.array([may_link(a, b) and linked(a, b, percent) for a, b in both], pa.bool_()))
 
+    pairs = _near_by_parity(pairs, sets, percent)
     return materialize(_with_sets(pairs, sets, "a", "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint"))
 
 
@@ -165,7 +185,7 @@ def membership() -> list[Column]:
 def closed(groups: DataFrame, sets: DataFrame, percent: int, may_link: Estimate) -> tuple[DataFrame, DataFrame]:
     """Labels (node, label) of the components over all links within groups, and the links that prove them.
 
-    ``groups`` has grp and node; ``sets`` node, n_shingles, shingles and weight of
+    ``groups`` has grp and node; ``sets`` node, n_shingles, shingles, parity and weight of
     all members (the heaviest member of a group leads it); ``may_link`` drops pairs
     of sets that do not link before they are compared as a whole. Nodes without a
     link have no label. An empty table of groups gives empty results.

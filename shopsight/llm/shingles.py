@@ -42,6 +42,21 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
     return np.unique(_mixed(rolled))
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """One bit for each residue of the hashes: whether an odd number of shingles has it. As many residues, a power of two, as shingles or more."""
+    bits = max(64, 1 << max(0, len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1)
+
+
+def least_difference(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the number of shingles in only one of two sets, of their parities; the longer one is folded."""
+    while len(a) != len(b):
+        if len(a) < len(b):
+            a, b = b, a
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def set_name(shingles: np.ndarray) -> tuple[int, int]:
     """The 128-bit name of a set, as two signed 64-bit integers: equal sets have equal names."""
     whole = xxhash.xxh3_128_intdigest(np.ascontiguousarray(shingles).tobytes())
@@ -55,7 +70,7 @@ def _bucket(doc_id: Column) -> tuple[Column, Column]:
 
 
 def stored_sets(documents: DataFrame, holders: DataFrame, shingles: Callable[[str], np.ndarray], keep: tuple[str, ...] = ()) -> DataFrame:
-    """node and shingles (little-endian unsigned 64-bit integers, sorted) of every wanted set, as a stored table.
+    """node, shingles (little-endian unsigned 64-bit integers, sorted) and parity of every wanted set, as a stored table.
 
     ``documents`` has doc_id and text, ``holders`` node, holder (a doc_id) and
     holder_hash (xxhash64 of the text, which tells rows of one id apart); ``keep``
@@ -73,10 +88,11 @@ def stored_sets(documents: DataFrame, holders: DataFrame, shingles: Callable[[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t).astype("<u8").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", *keep)), pa.array(sets, pa.binary())], names=["node", *keep, "shingles"])
+            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            blobs = [pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), pa.array([parity(s).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", *keep)), *blobs], names=["node", *keep, "shingles", "parity"])
 
-    return materialize(texts.mapInArrow(run, ", ".join(f"{c} bigint" for c in ("node", *keep)) + ", shingles binary"))
+    return materialize(texts.mapInArrow(run, ", ".join(f"{c} bigint" for c in ("node", *keep)) + ", shingles binary, parity binary"))
 
 
 def as_set(blob: bytes) -> np.ndarray:
