@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopsight.session import materialize
+from shopsight.llm.common import shuffle_width
+from shopsight.session import ensure_checkpoint_dir
 
 #: Texts to read again are looked for by hash bucket first: one bit for each of 64 times so many buckets, in at most so many rows.
 BITMAP_WORDS = 1 << 18
@@ -69,8 +71,17 @@ def _bucket(doc_id: Column) -> tuple[Column, Column]:
     return F.pmod(h, F.lit(BITMAP_WORDS)), F.pmod(F.shiftright(h, 24), F.lit(64)).cast("int")
 
 
+def _bucketed(sets: DataFrame) -> DataFrame:
+    """Store a table with one row for each node in buckets of it, so that joins on node leave it where it lies."""
+    spark, name = sets.sparkSession, f"sets_{uuid.uuid4().hex}"
+    buckets = shuffle_width(spark)
+    dealt = sets.repartition(buckets, "node").dropDuplicates(["node"])  # a task has one bucket
+    dealt.write.bucketBy(buckets, "node").option("path", f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}").saveAsTable(name, format="parquet")
+    return spark.table(name)
+
+
 def stored_sets(documents: DataFrame, holders: DataFrame, shingles: Callable[[str], np.ndarray], keep: tuple[str, ...] = ()) -> DataFrame:
-    """node, shingles (little-endian unsigned 64-bit integers, sorted) and parity of every wanted set, as a stored table.
+    """node, shingles (little-endian unsigned 64-bit integers, sorted) and parity of every wanted set, as a stored table in buckets of node.
 
     ``documents`` has doc_id and text, ``holders`` node, holder (a doc_id) and
     holder_hash (xxhash64 of the text, which tells rows of one id apart); ``keep``
@@ -84,7 +95,7 @@ def stored_sets(documents: DataFrame, holders: DataFrame, shingles: Callable[[st
     near = documents.select("doc_id", "text", row.alias("__row"), bit.alias("__bit")).join(F.broadcast(bitmap), "__row")
     near = near.where(F.call_function("shiftrightunsigned", F.col("__bits"), F.col("__bit")).bitwiseAND(F.lit(1)) == 1)
     same = F.col("doc_id").eqNullSafe(F.col("holder")) & (F.xxhash64("text") == F.col("holder_hash"))
-    texts = near.select("doc_id", "text").join(holders, same).select("node", *keep, "text").dropDuplicates(["node"])
+    texts = near.select("doc_id", "text").join(holders, same).select("node", *keep, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +103,7 @@ def stored_sets(documents: DataFrame, holders: DataFrame, shingles: Callable[[st
             blobs = [pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), pa.array([parity(s).tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", *keep)), *blobs], names=["node", *keep, "shingles", "parity"])
 
-    return materialize(texts.mapInArrow(run, ", ".join(f"{c} bigint" for c in ("node", *keep)) + ", shingles binary, parity binary"))
+    return _bucketed(texts.mapInArrow(run, ", ".join(f"{c} bigint" for c in ("node", *keep)) + ", shingles binary, parity binary"))
 
 
 def as_set(blob: bytes) -> np.ndarray:
