@@ -5,17 +5,20 @@ index entry). Each round compares the members of a group with one leader. Groups
 whose other members are then in one component are closed. Open groups of one leader
 become one, so a pair of leader and member goes on once, whatever number of entries
 it shares. Of these, those of up to ``BLOCK`` members are settled in a task, member by member. What a leader
-leaves open in larger ones rests on a property of symmetric differences: with ``d(A)``
-the shingles in which A differs from the leader, two members with disjoint
-``d(A)`` and ``d(B)`` differ in ``|d(A)| + |d(B)|`` shingles, and so, if they link
-with one another, both link with the leader. Links that a leader does not show
-are therefore between members that share a shingle of ``d``. These meet again in
+leaves open in larger ones rests on a property of symmetric differences. Let a group's
+centre be the shingles that more than half of its members have, ``d(A)`` those in
+which A differs from the centre, and R the member for which ``w(A) = |d(A)| - t |A|``
+is least, with ``t = (1 - s) / (1 + s)`` at likeness s. Sets link if they differ in at most
+``t (|A| + |B|)`` shingles. Two members with disjoint ``d(A)`` and ``d(B)`` differ in
+``|d(A)| + |d(B)|``, so if they link, ``w(A) + w(B) <= 0``, hence ``w(A) + w(R) <= 0``
+and ``w(B) + w(R) <= 0``, and both link with R. Members with ``w(A) + w(R) <= 0`` differ from R
+in so few shingles at most that they link with it without a comparison; all other links are between members that share a shingle of ``d``. These meet again in
 smaller groups, one for each such shingle, and the next round gives these groups
-leaders of their own. A group's leader is its heaviest member and in none of its
+leaders of their own. From the centre, members differ by their own edits only, so few
+share one. A group's leader is its heaviest member and in none of its
 smaller groups, whose leaders are lighter, so rounds end.
 
-Few members get that far. A link needs ``2 |d(A) & d(B)| >= |d(A)| + |d(B)| - t (|A| + |B|)``
-with ``t = (1 - s) / (1 + s)`` at likeness s, and ``|d(A) & d(B)|`` is at most
+Few members get that far. A link needs ``2 |d(A) & d(B)| >= w(A) + w(B)``, and ``|d(A) & d(B)|`` is at most
 the number of A's shingles of d that another member has; members that meet this
 with no other component of their group leave. Those that stay index only so
 many of their rarest shingles of d that a linked pair must share one of them.
@@ -119,44 +122,98 @@ def _labelled(df: DataFrame, labels: DataFrame, node: str, label: str) -> DataFr
     return df.join(of, node, "left").withColumn(label, F.coalesce(label, node))
 
 
-def _differences(opened: DataFrame, sets: DataFrame) -> DataFrame:
-    """grp, node and apart (number of shingles in which the node differs from its leader), a row for each such shingle."""
+def _chunked(keys: list[tuple], arrays: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    """A row for each value of the arrays, with its array's keys."""
+    size = [len(x) for x in arrays]
+    columns = [np.repeat(np.array(k, np.int64), size) for k in zip(*keys)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.concatenate(arrays).view(np.int64))], names=names)
+
+
+def _moves(apart: DataFrame) -> DataFrame:
+    """grp and moves: the shingles in which more than half of a group's members differ from its leader, at most twice a member's mean.
+
+    Tasks count the shingles of their members first and send a row for each shingle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for grp, own in held.items():
+                e, times = np.unique(np.concatenate(own), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), grp)), pa.array(e.view(np.int64)), pa.array(times.astype(np.int64))], names=["grp", "e", "times"])
+
         for batch in batches:
-            rows, n = [], 0
-            for grp, node, a, b in zip(*(batch.column(c).to_pylist() for c in ("grp", "node", "set_a", "set_b"))):
-                d = np.setxor1d(as_set(a), as_set(b), assume_unique=True).view(np.int64)
-                rows.append((grp, node, d))
-                n += len(d)
-                if n >= CHUNK:
-                    yield chunk(rows)
-                    rows, n = [], 0
-            if n:
-                yield chunk(rows)
-
-    def chunk(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-        size = np.array([len(d) for _, _, d in rows])
-        keys = [np.repeat(np.array(k, np.int64), size) for k in ([g for g, _, _ in rows], [n for _, n, _ in rows], size)]
-        return pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(np.concatenate([d for _, _, d in rows]))], names=["grp", "node", "apart", "e"])
-
-    both = _with_sets(opened.select("grp", "node", "lead"), sets, "node", "lead")
-    return both.select("grp", "node", "set_a", "set_b").mapInArrow(run, "grp bigint, node bigint, apart bigint, e bigint")
-
-
-def smaller_groups(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """grp and node of the groups in which links that a leader did not show must lie; stored.
-
-    ``opened`` has grp, node, n_shingles, lead and the labels label and lead_label.
+            for grp, blob in zip(*(batch.column(c).to_pylist() for c in ("grp", "d"))):
+                held.setdefault(grp, []).append(as_set(blob))
+                size += len(blob) // 8
+                if size >= 10 * CHUNK:
+                    yield from flush()
+                    held.clear()
+                    size = 0
+        yield from flush()
+
+    counted = apart.select("grp", "d").mapInArrow(run, "grp bigint, e bigint, times bigint").groupBy("grp", "e").agg(F.sum("times").alias("times"))
+    members = apart.groupBy("grp").agg(F.count("*").alias("members"))
+    return counted.join(members, "grp").where("2 * times > members").groupBy("grp").agg(F.sort_array(F.collect_list("e")).alias("moves"))
+
+
+def centred(opened: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """grp, node, n_shingles, d (the shingles in which the node differs from the centre of its group), apart (their number) and w; stored.
+
+    The centre has the shingles that more than half of the members have (of the leader's,
+    where there is a tie), whether or not some member is that set.
     """
-    up, down = 100 + percent, 100 - percent
-    apart = materialize(_differences(opened, sets))
+
+    def from_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(*([as_set(x) for x in batch.column(c).to_pylist()] for c in ("set_a", "set_b")))
+            d = pa.array([np.setxor1d(a, b, assume_unique=True).tobytes() for a, b in both], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("node"), batch.column("n_shingles"), d], names=["grp", "node", "n_shingles", "d"])
+
+    def from_centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            moves = [np.array(m or [], np.int64).view(np.uint64) for m in batch.column("moves").to_pylist()]
+            d = [np.setxor1d(as_set(x), m, assume_unique=True) for x, m in zip(batch.column("d").to_pylist(), moves)]
+            columns = [*(batch.column(c) for c in ("grp", "node", "n_shingles")), pa.array([x.tobytes() for x in d], pa.binary()), pa.array([len(x) for x in d], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["grp", "node", "n_shingles", "d", "apart"])
+
+    both = _with_sets(opened.select("grp", "node", "n_shingles", "lead"), sets, "node", "lead")
+    kind = "grp bigint, node bigint, n_shingles bigint, d binary"
+    apart = materialize(both.select("grp", "node", "n_shingles", "set_a", "set_b").mapInArrow(from_leader, kind))
+    moved = apart.join(_moves(apart), "grp", "left").select("grp", "node", "n_shingles", "d", "moves").mapInArrow(from_centre, f"{kind}, apart bigint")
+    return materialize(moved.withColumn("w", (100 + percent) * F.col("apart") - (100 - percent) * F.col("n_shingles")))
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """grp, node and e, a row for each shingle of d."""
+    names = ["grp", "node", "e"]
+    for batch in batches:
+        keys, arrays, n = [], [], 0
+        for grp, node, d in zip(*(batch.column(c).to_pylist() for c in ("grp", "node", "d"))):
+            keys.append((grp, node))
+            arrays.append(as_set(d))
+            n += len(arrays[-1])
+            if n >= CHUNK:
+                yield _chunked(keys, arrays, names)
+                keys, arrays, n = [], [], 0
+        if n:
+            yield _chunked(keys, arrays, names)
+
+
+def smaller_groups(opened: DataFrame, percent: int) -> DataFrame:
+    """grp and node of the groups in which links that leaders did not show must lie; stored.
+
+    ``opened`` has the columns of ``centred`` and the labels label and (of the member nearest to the centre) lead_label.
+    """
+    up = 100 + percent
+    apart = materialize(opened.select("grp", "node", "d").mapInArrow(_exploded, "grp bigint, node bigint, e bigint"))
     common = apart.groupBy("grp", "e").agg(F.count("*").alias("times")).where("times > 1")
     held = F.sort_array(F.collect_list(F.struct("times", "e"))).alias("held")
-    shared = apart.join(common, ["grp", "e"]).groupBy("grp", "node").agg(F.first("apart").alias("apart"), held)
-    shared = shared.join(opened.select("grp", "node", "label", "lead_label", "n_shingles"), ["grp", "node"])
-    w = up * F.col("apart") - down * F.col("n_shingles")
-    shared = materialize(shared.withColumn("w", w).withColumn("x", 2 * up * F.size("held") - w))
+    shared = apart.join(common, ["grp", "e"]).groupBy("grp", "node").agg(held)
+    shared = shared.join(opened.select("grp", "node", "label", "lead_label", "w"), ["grp", "node"])
+    shared = materialize(shared.withColumn("x", 2 * up * F.size("held") - F.col("w")))
     inside = F.col("label") == F.col("lead_label")
     best = shared.groupBy("grp").agg(
         F.min(F.when(inside, F.col("w"))).alias("w_in"),
@@ -164,7 +221,7 @@ def smaller_groups(opened: DataFrame, sets: DataFrame, percent: int) -> DataFram
         F.min(F.when(~inside, F.col("w"))).alias("w_out"),
         F.max(F.when(~inside, F.col("x"))).alias("x_out"),
     )
-    # the leader's component links only outwards; the others with it and with one another
+    # the nearest member's component links only outwards; the others with it and with one another
     meets = lambda side: F.coalesce((F.col("x") >= F.col(f"w_{side}")) & (F.col("w") <= F.col(f"x_{side}")), F.lit(False))
     able = shared.join(best, "grp").where(meets("out") | (~inside & meets("in")))
     least = F.when(inside, F.col("w_out")).otherwise(F.least("w_in", "w_out"))
@@ -207,15 +264,25 @@ def closed(groups: DataFrame, sets: DataFrame, percent: int, may_link: Estimate)
         found = verified(pairs, sets, percent, may_link)
         links = found if links is None else links.unionByName(found)
         labels = least_labels(links, "a", "b")
-        placed = _labelled(stars, labels, "node", "label")
-        still = placed.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
         # open groups of one leader are one group
-        merged = placed.join(still.select("grp"), "grp", "left_semi").withColumn("grp", F.col("lead")).dropDuplicates(["grp", "node"])
+        merged = _open(_labelled(stars, labels, "node", "label")).withColumn("grp", F.col("lead")).dropDuplicates(["grp", "node"])
         merged = materialize(merged)
         opened = materialize(merged.join(merged.groupBy("grp").agg(F.count("*").alias("rest")), "grp"))
         small, large = opened.where(F.col("rest") <= BLOCK), opened.where(F.col("rest") > BLOCK)
         links = links.unionByName(within_blocks(small, sets, percent, may_link))
         if large.isEmpty():
             return least_labels(links, "a", "b"), links
-        large = materialize(_labelled(large, labels, "lead", "lead_label"))
-        groups = smaller_groups(large, sets, percent)
+        large = centred(large, sets, percent)
+        nearest = large.groupBy("grp").agg(F.min(F.struct("w", "node")).alias("top"))
+        large = materialize(large.join(nearest, "grp").withColumn("lead", F.col("top.node")))
+        sure = large.where("node <> lead AND w + top.w <= 0").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))
+        links = links.unionByName(materialize(sure.distinct()))
+        labels = least_labels(links, "a", "b")
+        large = _labelled(_open(_labelled(large.drop("top"), labels, "node", "label")), labels, "lead", "lead_label")
+        groups = smaller_groups(materialize(large), percent)
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """The members of the groups that more than one label has part in."""
+    still = placed.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    return placed.join(still.select("grp"), "grp", "left_semi")
