@@ -19,6 +19,8 @@ from shopsight.functions import bool_rate, clip, exact_avg, month_start
 from shopsight.operators.select import values_at
 
 DIGITS = 12
+#: Decimals of a reported mean.
+MEAN_DIGITS = 9
 
 
 def nunique(df: DataFrame, col: str, approx: bool = False, rsd: float = 0.01) -> DataFrame:
@@ -194,12 +196,15 @@ def describe(df: DataFrame, cols: Sequence[str], **rank_opts) -> DataFrame:
             F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols])
         ).alias("kv")
     ).select("kv.column", "kv.x")
-    # the mean from an exact decimal sum (order-free); the deviation is a float
-    # reduction, rounded to 4 decimals so partition order cannot show
-    exact = F.col("x").cast(T.DecimalType(38, 6))
+    # the mean from a decimal sum that keeps a value's digits (order-free); the deviation is
+    # a float reduction, rounded to 4 decimals so partition order cannot show
+    wide = F.col("x").try_cast(T.DecimalType(38, 18))
+    exact = F.try_divide(F.try_sum(wide).cast("double"), F.count("x").cast("double"))
+    # NaN, infinities, values from 1e20 on and sums beyond them have no such decimal
+    mean = F.coalesce(F.when(F.count(wide) == F.count("x"), exact), F.avg("x"))
     moments = long.groupBy("column").agg(
         F.count("x").alias("count"),
-        F.try_divide(F.sum(exact).cast("double"), F.count("x").cast("double")).alias("mean"),
+        F.round(mean, MEAN_DIGITS).alias("mean"),
         F.round(F.stddev_samp("x"), 4).alias("std"),
         F.min("x").alias("min"),
         F.max("x").alias("max"),

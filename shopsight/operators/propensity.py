@@ -266,11 +266,21 @@ def default_model(meta_df: DataFrame) -> str:
 
 
 def model_metrics_view(meta_df: DataFrame) -> DataFrame:
-    """Flatten stored metrics into (model, metric, value) rows plus the base rate and default model."""
+    """Flatten stored metrics into (model, metric, value) rows, with the default model, the horizon, the ends of training and evaluation and both sizes.
+
+    What the metadata lacks is NULL; a metric without a value stays as a NULL.
+    """
     meta = json.loads(meta_df.first()["meta"])
     spark = meta_df.sparkSession
-    rows = [(m, k, float(v)) for m, d in meta.get("metrics_test", {}).items() for k, v in d.items()]
+    rows = [(m, k, None if v is None else float(v)) for m, d in meta.get("metrics_test", {}).items() for k, v in d.items()]
     df = spark.createDataFrame(rows, "model string, metric string, value double")
-    return df.withColumn("default_model", F.lit(meta.get("default_model", "logreg"))).withColumn(
-        "horizon_days", F.lit(int(meta.get("horizon_days", 0)))
+    return df.withColumns(
+        {
+            "default_model": F.lit(meta.get("default_model", "logreg")),
+            "horizon_days": F.lit(int(meta.get("horizon_days", 0))),
+            "train_end": F.lit(meta.get("train_end")).cast("string"),
+            "eval_end": F.lit(meta.get("eval_end")).cast("string"),
+            "train_size": F.lit(meta.get("train_size")).cast("long"),
+            "test_size": F.lit(meta.get("test_size")).cast("long"),
+        }
     )

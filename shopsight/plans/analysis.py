@@ -484,7 +484,7 @@ def _describe_sql(cols) -> str:
     for c in cols:
         parts.append(
             f"SELECT '{c}' AS column, COUNT({c}) AS count,"
-            f" CAST(SUM(CAST(CAST({c} AS DOUBLE) AS DECIMAL(38,6))) AS DOUBLE) / COUNT({c}) AS mean,"
+            f" ROUND(FAVG(CAST({c} AS DOUBLE)), {eda.MEAN_DIGITS}) AS mean,"
             f" ROUND(STDDEV_SAMP(CAST({c} AS DOUBLE)), 4) AS std, MIN(CAST({c} AS DOUBLE)) AS min,"
             f" ROUND(quantile_cont(CAST({c} AS DOUBLE), 0.25), 12) AS p25,"
             f" ROUND(quantile_cont(CAST({c} AS DOUBLE), 0.5), 12) AS p50,"

@@ -212,6 +212,12 @@ def q_perm_importance(spark, sf):
     return propensity.perm_importance(model, test, NUMERIC + CATEGORICAL, PERSON, "label", PERM_REPEATS)
 
 
+def _eval_end(spark, sf) -> str | None:
+    """The last observable date, as text."""
+    last = features.last_observable_date(wh(spark, sf).fct_orders, HORIZON)
+    return spark.range(1).select(last.cast("string")).first()[0]
+
+
 def _meta(spark, sf) -> DataFrame:
     train, test = _split(spark, sf)
     m = {}
@@ -225,6 +231,7 @@ def _meta(spark, sf) -> DataFrame:
         "numeric_features": NUMERIC,
         "categorical_features": CATEGORICAL,
         "train_end": TRAIN_END,
+        "eval_end": _eval_end(spark, sf),
         "train_size": train.count(),
         "test_size": test.count(),
         "metrics_test": m,
@@ -246,8 +253,8 @@ def q_model_default(spark, sf):
 @register("sink_model")
 def q_sink_model(spark, sf):
     folder = os.path.join(ensure_checkpoint_dir(spark), "models")
-    model, _ = _model(spark, sf, "logreg")
-    propensity.save_model(model, os.path.join(folder, "repeat_purchase_logreg"))
+    for kind in propensity.MODEL_TYPES:
+        propensity.save_model(_model(spark, sf, kind)[0], os.path.join(folder, f"repeat_purchase_{kind}"))
     meta = _meta(spark, sf)
     meta.write.mode("overwrite").json(os.path.join(folder, "repeat_purchase.meta"))
     return spark.read.json(os.path.join(folder, "repeat_purchase.meta"))
