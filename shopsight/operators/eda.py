@@ -19,8 +19,8 @@ from shopsight.functions import bool_rate, clip, exact_avg, month_start
 from shopsight.operators.select import values_at
 
 DIGITS = 12
-#: Decimals of a reported mean.
-MEAN_DIGITS = 9
+#: Decimals of a reported mean, from 1 on and below.
+MEAN_DIGITS = (6, 15)
 
 
 def nunique(df: DataFrame, col: str, approx: bool = False, rsd: float = 0.01) -> DataFrame:
@@ -204,7 +204,7 @@ def describe(df: DataFrame, cols: Sequence[str], **rank_opts) -> DataFrame:
     mean = F.coalesce(F.when(F.count(wide) == F.count("x"), exact), F.avg("x"))
     moments = long.groupBy("column").agg(
         F.count("x").alias("count"),
-        F.round(mean, MEAN_DIGITS).alias("mean"),
+        F.when(F.abs(mean) >= 1, F.round(mean, MEAN_DIGITS[0])).otherwise(F.round(mean, MEAN_DIGITS[1])).alias("mean"),
         F.round(F.stddev_samp("x"), 4).alias("std"),
         F.min("x").alias("min"),
         F.max("x").alias("max"),

@@ -481,10 +481,12 @@ def q_join_first_repeat(spark, sf):
 
 def _describe_sql(cols) -> str:
     parts = []
+    wide, fine = eda.MEAN_DIGITS
     for c in cols:
+        mean = f"FAVG(CAST({c} AS DOUBLE))"
         parts.append(
             f"SELECT '{c}' AS column, COUNT({c}) AS count,"
-            f" ROUND(FAVG(CAST({c} AS DOUBLE)), {eda.MEAN_DIGITS}) AS mean,"
+            f" CASE WHEN ABS({mean}) >= 1 THEN ROUND({mean}, {wide}) ELSE ROUND({mean}, {fine}) END AS mean,"
             f" ROUND(STDDEV_SAMP(CAST({c} AS DOUBLE)), 4) AS std, MIN(CAST({c} AS DOUBLE)) AS min,"
             f" ROUND(quantile_cont(CAST({c} AS DOUBLE), 0.25), 12) AS p25,"
             f" ROUND(quantile_cont(CAST({c} AS DOUBLE), 0.5), 12) AS p50,"
