@@ -139,12 +139,14 @@ def _among(names: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
     return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-SENT = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("depth", pa.int32()), ("keys", pa.binary()), ("weights", pa.binary()), ("words", pa.list_(pa.binary()))])
+#: What a task sends to one part: of each language (and depth) an item in every list.
+SENT = "part int, lang array<string>, depth array<int>, keys array<binary>, weights array<binary>, words array<array<binary>>"
+SENT_TYPES = [pa.int32(), *map(pa.list_, (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary())))]
 FOUND = "lang string, depth int, h1 bigint, h2 bigint, h3 bigint, name bigint, n bigint, word string"
 
 
-def _sent(lang: str, tokens: list[bytes], depth: int, frequent: np.ndarray | None, parts: int) -> pa.RecordBatch:
-    """A task's phrases of one depth and their counts, a row for each part; with depth 1, at depth 0, the number of words."""
+def _counts(lang: str, tokens: list[bytes], depth: int, frequent: np.ndarray | None, parts: int) -> list[tuple]:
+    """A task's phrases of one depth and language and their counts, an item for each part; with depth 1, at depth 0, the number of words."""
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens)) | np.uint64(1)  # 0 is none
     mark = np.uint64(xxhash.xxh3_64_intdigest(_MARK)) | np.uint64(1)
     keys = suffix_keys(hashes, mark)[:depth]
@@ -167,7 +169,17 @@ def _sent(lang: str, tokens: list[bytes], depth: int, frequent: np.ndarray | Non
         for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(part)]):
             words = [name[h] for h in own[0, a:b].tolist()] if depth == 1 else None
             rows.append((int(part[a]), lang, depth, own[:, a:b].tobytes(), weights[a:b].astype("<u4").tobytes(), words))
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(SENT)], schema=SENT)
+    return rows
+
+
+def _sent(held: dict[str, list[bytes]], depth: int, frequent: np.ndarray | None, parts: int) -> pa.RecordBatch:
+    """The counts of all languages, one row for each part."""
+    of: dict[int, list[tuple]] = defaultdict(list)
+    for lang, tokens in held.items():
+        for part, *item in _counts(lang, tokens, depth, frequent, parts):
+            of[part].append(item)
+    columns = [list(of), *([[x[i] for x in items] for items in of.values()] for i in range(5))]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, SENT_TYPES)], names=["part", "lang", "depth", "keys", "weights", "words"])
 
 
 def _met(lang: str, depth: int, rows: list[tuple[bytes, bytes, list[bytes] | None]], least: int) -> pa.RecordBatch:
@@ -217,27 +229,27 @@ def phrases_of_depth(documents: DataFrame, depth: int, before: DataFrame | None,
                 held[lang] += words
                 size += len(words)
                 if size >= CHUNK:
-                    yield from (_sent(x, tokens, depth, frequent.value, parts) for x, tokens in held.items())
+                    yield _sent(held, depth, frequent.value, parts)
                     held.clear()
                     size = 0
-        yield from (_sent(x, tokens, depth, frequent.value, parts) for x, tokens in held.items())
+        if held:
+            yield _sent(held, depth, frequent.value, parts)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come ordered by part, language and depth
-        last, rows = None, []
+        # rows come ordered by part
+        last, held = None, defaultdict(list)
         for batch in batches:
-            for part, lang, d, keys, weights, words in zip(*(c.to_pylist() for c in batch.columns)):
-                if last != (part, lang, d):
-                    if rows:
-                        yield _met(last[1], last[2], rows, least)
-                    last, rows = (part, lang, d), []
-                rows.append((keys, weights, words))
-        if rows:
-            yield _met(last[1], last[2], rows, least)
+            for part, *items in zip(*(c.to_pylist() for c in batch.columns)):
+                if last != part:
+                    yield from (_met(*k, rows, least) for k, rows in held.items())
+                    last, held = part, defaultdict(list)
+                for lang, d, *row in zip(*items):
+                    held[lang, d].append(row)
+        yield from (_met(*k, rows, least) for k, rows in held.items())
 
     texts = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), whole_text().alias("text"))
-    sent = texts.mapInArrow(gather, "part int, lang string, depth int, keys binary, weights binary, words array<binary>")
-    return materialize(sent.repartition("part").sortWithinPartitions("part", "lang", "depth").mapInArrow(meet, FOUND))
+    sent = texts.mapInArrow(gather, SENT)
+    return materialize(sent.repartition("part").sortWithinPartitions("part").mapInArrow(meet, FOUND))
 
 
 def frequent_phrases(documents: DataFrame, least: int = LEAST) -> DataFrame:
