@@ -1,8 +1,9 @@
 """RFM segmentation: log-scaled features, KMeans with restarts, silhouette, profiles.
 
-KMeans is Spark ML (distributed Lloyd iterations with k-means|| seeding).
-Restarts (``n_init``) are separate fits on one materialised vector frame; the
-fit with the lowest training cost wins. The silhouette is the exact Euclidean
+KMeans seeds with Spark ML's k-means||, once for each k and restart (``n_init``).
+The Lloyd iterations of all k and restarts run side by side: one pass over the
+points serves every fit that has not converged, so passes follow the slowest fit
+and not the number of fits. The fit with the lowest training cost wins. The silhouette is the exact Euclidean
 one on a fixed-size sample: the sample (a bounded parameter, 10,000 rows) is
 broadcast, and each partition of the sample computes its points' mean
 distances per cluster with numpy, so no pair is ever materialised as a row.
@@ -12,9 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -61,26 +65,101 @@ def _vectors(scaled: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=SCALED, outputCol="features").transform(scaled).select(PERSON, *SCALED, "features")
 
 
-def fit_kmeans(vectors: DataFrame, k: int, n_init: int = 10, seed: int = 42, max_iter: int = 300):
-    """Best of ``n_init`` KMeans fits (distinct seeds) by training cost (inertia).
+class Centers:
+    """A fitted KMeans: its cluster centres, which label points as Spark ML's model does (the first of equally near ones)."""
 
-    The (stored) vectors are cached for the restarts: every fit makes many
-    passes, and a lost cached block is re-read from the stored frame.
+    def __init__(self, centers: np.ndarray):
+        self.centers = centers
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        near = [reduce(add, [F.pow(F.col(c) - F.lit(float(x)), F.lit(2.0)) for c, x in zip(SCALED, center)]) for center in self.centers]
+        apart = F.array(*near)
+        return df.withColumn("prediction", (F.array_position(apart, F.array_min(apart)) - 1).cast("int"))
+
+
+def lloyd_sums(points: DataFrame, fits: dict[int, np.ndarray]) -> pd.DataFrame:
+    """fit, cluster, n, s0 .. (coordinate sums) and cost of the points nearest to each centre of each fit: a row per centre."""
+    spark = points.sparkSession
+    bx = spark.sparkContext.broadcast(fits)
+    sums = [f"s{i}" for i in range(len(points.columns))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fits = bx.value
+        edges = np.cumsum([0, *map(len, fits.values())])
+        centers = np.concatenate(list(fits.values()))
+        total = np.zeros((len(centers), 2 + len(sums)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            d = (x**2).sum(axis=1)[:, None] - 2.0 * x @ centers.T + (centers**2).sum(axis=1)
+            for a, b in zip(edges[:-1], edges[1:]):
+                own = d[:, a:b].argmin(axis=1)
+                cost = np.maximum(d[np.arange(len(x)), a + own], 0.0)
+                total[a:b] += np.column_stack([np.bincount(own, w, b - a) for w in (None, *x.T, cost)])
+        keys = [np.repeat(list(fits), np.diff(edges)), np.concatenate([np.arange(len(c)) for c in fits.values()])]
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()) for k in keys] + [pa.array(c) for c in total.T.copy()], names=["fit", "cluster", "n", *sums, "cost"])
+
+    kind = "fit int, cluster int, " + ", ".join(f"{c} double" for c in ("n", *sums, "cost"))
+    out = points.mapInArrow(run, kind).groupBy("fit", "cluster").agg(*[F.sum(c).alias(c) for c in ("n", *sums, "cost")])
+    found = out.toPandas().sort_values(["fit", "cluster"])
+    bx.unpersist()
+    return found
+
+
+def lloyd(points: DataFrame, fits: list[np.ndarray], max_iter: int = 300, tol: float = 1e-4) -> list[tuple[np.ndarray, float]]:
+    """Centres and training cost of each fit after Lloyd iterations, from its given centres on.
+
+    As in Spark ML a fit ends when none of its centres moves further than ``tol``, a centre
+    without points stays, and the cost is that of the last pass.
+    """
+    centers = dict(enumerate(fits))
+    costs = dict.fromkeys(centers, 0.0)
+    open_fits = set(centers)
+    for _ in range(max_iter):
+        if not open_fits:
+            break
+        for i, found in lloyd_sums(points, {i: centers[i] for i in sorted(open_fits)}).groupby("fit"):
+            n = found["n"].to_numpy()
+            moved = centers[i].copy()
+            moved[n > 0] = found.filter(regex=r"^s\d+$").to_numpy()[n > 0] / n[n > 0, None]
+            if (((moved - centers[i]) ** 2).sum(axis=1) <= tol**2).all():
+                open_fits.discard(i)
+            centers[i], costs[i] = moved, float(found["cost"].sum())
+    return [(centers[i], costs[i]) for i in range(len(fits))]
+
+
+def fit_kmeans_each(vectors: DataFrame, ks: Sequence[int], n_init: int = 10, seed: int = 42, max_iter: int = 300) -> dict[int, tuple[Centers, float]]:
+    """For each k, the best of ``n_init`` KMeans fits (distinct seeds) by training cost (inertia), and that cost.
+
+    The (stored) vectors are cached: every fit makes many passes, and a lost
+    cached block is re-read from the stored frame.
     """
     cached = vectors.persist(StorageLevel.MEMORY_AND_DISK)
 
-    def one(i: int):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=1e-4, featuresCol="features").fit(cached)
-        return model, model.summary.trainingCost
+    def start(task: tuple[int, int]) -> np.ndarray:
+        k, i = task
+        return np.array(KMeans(k=k, seed=seed + i, maxIter=0, tol=1e-4, featuresCol="features").fit(cached).clusterCenters())
 
+    tasks = [(k, i) for k in ks for i in range(n_init)]
     try:
-        # restarts are independent jobs: submit a few at once to share the cluster
-        with ThreadPoolExecutor(max_workers=min(4, n_init)) as pool:
-            fits = list(pool.map(one, range(n_init)))
+        # seedings are independent jobs: submit a few at once to share the cluster
+        with ThreadPoolExecutor(max_workers=min(4, len(tasks))) as pool:
+            starts = list(pool.map(start, tasks))
+        fits = lloyd(cached.select(*SCALED), starts, max_iter)
     finally:
         cached.unpersist()
-    # lowest cost wins; ties go to the earliest seed
-    return min(fits, key=lambda mc: mc[1])
+    best = {}
+    for k in ks:
+        own = [f for t, f in zip(tasks, fits) if t[0] == k]
+        # lowest cost wins; ties (but for the rounding of sums) go to the earliest seed
+        limit = min(cost for _, cost in own) * (1 + 1e-12)
+        centers, cost = next(f for f in own if f[1] <= limit)
+        best[k] = (Centers(centers), cost)
+    return best
+
+
+def fit_kmeans(vectors: DataFrame, k: int, n_init: int = 10, seed: int = 42, max_iter: int = 300) -> tuple[Centers, float]:
+    """Best of ``n_init`` KMeans fits of one k, and its cost (see :func:`fit_kmeans_each`)."""
+    return fit_kmeans_each(vectors, [k], n_init, seed, max_iter)[k]
 
 
 def sample_fixed(df: DataFrame, n: int, seed: int = 42, id_col: str = PERSON) -> DataFrame:
@@ -146,11 +225,10 @@ def kmeans_sweep(
     """Inertia and sample silhouette per k (the elbow/silhouette table)."""
     vectors = materialize(_vectors(rfm_log_scale(rfm)))
     sample_ids = sample_fixed(vectors.select(PERSON), sample_size, seed)
+    sample = materialize(vectors.join(sample_ids, PERSON).select(*SCALED))
     rows = []
-    for k in ks:
-        model, cost = fit_kmeans(vectors, k, n_init, seed)
-        pts = model.transform(vectors.join(sample_ids, PERSON)).select(*SCALED, "prediction")
-        rows.append((int(k), float(cost), silhouette(pts)))
+    for k, (model, cost) in fit_kmeans_each(vectors, list(ks), n_init, seed).items():
+        rows.append((int(k), float(cost), silhouette(model.transform(sample))))
     return rfm.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
