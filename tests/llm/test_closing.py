@@ -39,3 +39,31 @@ def test_labels_over_earlier_labels(spark):
     known = least_labels(frame(edges), "a", "b")
     assert as_dict(least_labels(frame(later), "a", "b", known)) == as_dict(least_labels(frame(edges + later), "a", "b"))
     assert as_dict(least_labels(frame([]), "a", "b", known)) == as_dict(known)
+
+
+def test_few_shingles_of_far_members_are_indexed_and_linked_members_meet(spark):
+    """Members lack the same shingles of their centre by chance; only those that links need are sent on."""
+    rng = np.random.default_rng(8)
+    common = np.arange(1, 151, dtype=np.uint64)
+    shingles = {}
+    for family in range(40):
+        own = np.concatenate([rng.choice(common, 150 - 30, replace=False), np.arange(30, dtype=np.uint64) + np.uint64(1000 * (family + 1))])
+        for copy in range(3):
+            kept = rng.choice(own, len(own) - 4 * copy, replace=False)
+            shingles[len(shingles)] = np.sort(np.concatenate([kept, np.arange(copy, dtype=np.uint64) + np.uint64(1_000_000 + 10 * len(shingles))]))
+    sets = spark.createDataFrame([(n, len(s), bytearray(s.tobytes())) for n, s in shingles.items()], "node bigint, n_shingles bigint, shingles binary")
+    opened = closing.centred(sets.where("node > 0").selectExpr("0L AS grp", "node", "n_shingles", "0L AS lead"), sets, 80)
+    rows = closing.leading(opened.selectExpr("*", "node AS label", "-1L AS lead_label"), 80).collect()
+    first = {r["node"]: set(np.frombuffer(r["d"], "<u8")[: r["take"]].tolist()) for r in rows}
+    d = {r["node"]: np.frombuffer(r["d"], "<u8") for r in rows}
+    majority = {e for e in set(np.concatenate(list(shingles.values())).tolist()) if 2 * sum(e in shingles[n] for n in d) > len(d)}
+    assert all(set(d[n].tolist()) == majority ^ set(shingles[n].tolist()) for n in d)
+    pairs = [(a, b) for a in d for b in d if a < b and closing.linked(shingles[a], shingles[b], 80) and np.intersect1d(d[a], d[b]).size]
+    assert len(pairs) > 60 and all(first[a] & first[b] for a, b in pairs)
+    assert 2 * sum(map(len, first.values())) < sum(map(len, d.values()))
+    found = closing.smaller_groups(opened.selectExpr("*", "node AS label", "-1L AS lead_label"), 80)
+    groups = {}
+    for r in found.collect():
+        groups.setdefault(r["grp"], set()).add(r["node"])
+    assert all(any({a, b} <= g for g in groups.values()) for a, b in pairs)
+    assert max(map(len, groups.values())) < len(d) / 4
