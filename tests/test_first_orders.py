@@ -33,3 +33,15 @@ def test_first_orders_are_bounded_rows_and_give_the_second_time(spark, strict):
     assert got[3]["second_order_at"] is None
     plan = _plan(out)
     assert "min_by" not in plan and "WindowGroupLimit" in plan
+
+
+def test_second_rows_of_a_group_move_with_time_and_id_only(spark):
+    h = lambda n: T0 + dt.timedelta(hours=n)
+    rows = [{"order_id": 1, "purchased_at": h(1), "avg_review_score": None}, {"order_id": 2, "purchased_at": h(2), "avg_review_score": None, "delivery_days": 9}]
+    rows += [{"order_id": 3, "purchased_at": h(3), "avg_review_score": 4.0, "delivery_days": 7}, {"order_id": 4, "purchased_at": h(4), "avg_review_score": 1.0}]
+    rows += [{"order_id": 5, "purchased_at": h(1), "customer_unique_id": 2, "item_count": 3}, {"order_id": 5, "purchased_at": h(1), "customer_unique_id": 2, "item_count": 3}]
+    for strict in (False, True):
+        out = features.first_and_second_orders(make_fct(spark, rows), strict)
+        got = {r[features.PERSON]: (r["first_order_id"], r["second_order_at"], r["delivery_days"], r["avg_review_score"], r["item_count"]) for r in out.collect()}
+        assert got == {1: (1, h(2), 5, None if strict else 4.0, 1), 2: (5, h(1), 5, 5.0, 3)}
+        assert ("CASE WHEN (_nth" in _plan(out)) != strict

@@ -38,3 +38,10 @@ def test_payments_and_reviews_move_once_by_order(spark):
         plan = _plan(df)
         assert plan.count("Exchange hashpartitioning") == 1
         assert plan.count("Aggregate(") == 2 and plan.rindex("Aggregate(") < plan.index("Exchange hashpartitioning")
+
+
+def test_line_totals_do_not_move(spark):
+    want = sorted(map(tuple, intermediate.int_item_totals(_items(spark)).collect()), key=str)
+    got = intermediate.int_item_totals(_items(spark).drop("line_total"))
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    assert "line_total" not in _plan(intermediate.int_item_totals(_items(spark))).split("LocalTableScan")[0].split("Scan")[0]
