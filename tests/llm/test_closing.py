@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from shopsight.llm import closing
 from shopsight.llm.components import least_labels
+from shopsight.llm.shingles import parity
 
 
 def batch(members):
@@ -67,3 +69,62 @@ def test_few_shingles_of_far_members_are_indexed_and_linked_members_meet(spark):
         groups.setdefault(r["grp"], set()).add(r["node"])
     assert all(any({a, b} <= g for g in groups.values()) for a, b in pairs)
     assert max(map(len, groups.values())) < len(d) / 4
+
+
+def test_overlaps_against_brute_force(monkeypatch):
+    monkeypatch.setattr(closing, "COLUMNS", 16)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 150, n)).astype(np.uint64) for n in (0, 1, 40, 90, 200, 0, 60)]
+    got = closing.overlaps(sets)
+    assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+    assert closing.overlaps([]).shape == (0, 0) and not closing.overlaps([sets[0], sets[5]]).any()
+
+
+def families(rng, n):
+    """Sets of 100 shingles, 70 of them common to all: near the leader of all, linked in threes."""
+    common = np.arange(70, dtype=np.uint64)
+    out = []
+    for family in range(n):
+        own = np.arange(30, dtype=np.uint64) + np.uint64(1000 * (family + 1))
+        out += [np.sort(np.concatenate([common, own[: 30 - copy], np.arange(copy, dtype=np.uint64) + np.uint64(10**6 + 10 * len(out) + copy)])) for copy in range(3)]
+    return [out[i] for i in rng.permutation(len(out))]
+
+
+def stored(spark, shingles):
+    rows = [(i, len(s), i, bytearray(s.tobytes()), bytearray(parity(s).tobytes())) for i, s in enumerate(shingles)]
+    return spark.createDataFrame(rows, "node bigint, n_shingles bigint, weight bigint, shingles binary, parity binary").localCheckpoint()
+
+
+@pytest.mark.parametrize(("block", "rounds"), [(512, 1), (2, 3)])
+def test_a_group_of_hundreds_needs_no_rounds(spark, monkeypatch, block, rounds):
+    """The members of a group without a member that most of them link with are settled at once; in parts, they end alike."""
+    shingles = families(np.random.default_rng(6), 60)
+    compared = []
+    inner = closing.verified
+    monkeypatch.setattr(closing, "verified", lambda pairs, *rest: compared.append(1) or inner(pairs, *rest))
+    if block == 2:
+        monkeypatch.setattr(closing, "BLOCK", block)
+    monkeypatch.setattr(closing, "SLOT", 700)
+    sets = stored(spark, shingles)
+    labels, links = closing.closed(sets.selectExpr("0L AS grp", "node"), sets, 80, lambda a, b: True)
+    got = {r["node"]: r["label"] for r in labels.collect()}
+    family = [int(s[s >= 1000][0]) // 1000 for s in shingles]
+    assert got == {i: family.index(f) for i, f in enumerate(family)}
+    assert len(compared) <= rounds
+    assert all(closing.linked(shingles[r["a"]], shingles[r["b"]], 80) for r in links.collect())
+
+
+def test_differences_move_in_few_rows(spark):
+    """A member sends one row for each slot and not one for each of its differences."""
+    shingles = families(np.random.default_rng(7), 60)
+    sets = stored(spark, shingles)
+    opened = closing.centred(sets.where("node > 0").selectExpr("0L AS grp", "node", "n_shingles", "0L AS lead"), sets, 80)
+    entries = closing.leading(opened.selectExpr("*", "node AS label", "-1L AS lead_label"), 80).where("take > 0").selectExpr("*", "2L AS slots").localCheckpoint()
+    rows = entries.select("grp", "slots", "node", "label", "take", "d").mapInArrow(closing._sliced, "grp bigint, slot bigint, node bigint, label bigint, e binary").collect()
+    assert len(rows) <= 2 * entries.count()
+    held = {}
+    for r in rows:
+        e = np.frombuffer(r["e"], "<u8")
+        assert len(e) and (e % 2 == r["slot"]).all()
+        held.setdefault(r["node"], set()).update(e.tolist())
+    assert held == {r["node"]: set(np.frombuffer(r["d"], "<u8")[: r["take"]].tolist()) for r in entries.collect()}
