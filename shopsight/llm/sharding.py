@@ -8,7 +8,10 @@ to its leaf.
 Rows are summed per prefix before anything moves: a round counts the cells
 ``ROUND_BITS`` deeper than the buckets still open, sums them up to every depth
 between, and settles each cell whose ancestors reach the limit; only rows of
-cells that stay oversized enter the next round. Rows with equal hashes cannot be
+cells that stay oversized enter the next round. Cells of the later rounds are about
+as many as the rows, and their stored columns compress to a small part of what a
+hash table of them takes, so their joins are sorted ones whatever size Spark
+estimates: the driver holds no table. Rows with equal hashes cannot be
 told apart by bits: a shard at the full depth may exceed the limit, and is marked.
 
 Defined cases: a null text has no bytes; a null id hashes as a value of its own;
@@ -53,13 +56,13 @@ def shards(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
         )
         sums = depths.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows"))
         fitting = sums.where((F.col("shard_bytes") <= limit) | (F.col("depth") == HASH_BITS))
-        leaves = depths.select("cell", "depth", "prefix").join(fitting, ["depth", "prefix"]).groupBy("cell")
+        leaves = depths.select("cell", "depth", "prefix").join(fitting.hint("merge"), ["depth", "prefix"]).groupBy("cell")
         leaves = materialize(leaves.agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_rows")).alias("leaf")))
-        here = open_rows.withColumn("cell", _prefix(deep)).join(leaves, "cell", "left")
+        here = open_rows.withColumn("cell", _prefix(deep)).join(leaves.hint("merge"), "cell", "left")
         done = here.where(F.col("leaf").isNotNull()).select(*columns, "leaf.*")
         settled = done if settled is None else settled.unionByName(done)
         rest = here.where(F.col("leaf").isNull()).select(*columns)
-        if deep == HASH_BITS or cells.join(leaves, "cell", "left_anti").isEmpty():
+        if deep == HASH_BITS or cells.join(leaves.hint("merge"), "cell", "left_anti").isEmpty():
             break
         open_rows, top = materialize(rest), deep
     bits = F.when(F.col("depth") == 0, "").otherwise(F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0")))

@@ -95,6 +95,22 @@ def test_shards_against_sql(docs_of, monkeypatch, limit):
     assert fits.where("b <> s").isEmpty() and fits.where(F.col("b") > limit).isEmpty()
 
 
+def test_no_table_of_cells_is_broadcast(docs_of, monkeypatch):
+    """Cells are as many as rows in the later rounds: their joins must not gather them at the driver, however small they are stored."""
+    plans, write = [], sharding.materialize
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(sharding, "materialize", noted)
+    found = sharding.document_shards(docs_of([(i, "a" * (i % 7)) for i in range(300)]), 100)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert found.count() == 300
+    assert sum("SortMergeJoin" in p for p in plans) >= 2
+    assert not any("BroadcastExchange" in p for p in plans)
+
+
 def test_directory_covers_all_slots_once(docs_of):
     docs = docs_of([(i, "x" * (i * 37 % 101)) for i in range(300)])
     slots = sorted((r["first_slot"], r["last_slot"]) for r in sharding.directory(sharding.document_shards(docs, 400)).collect())
