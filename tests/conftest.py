@@ -24,6 +24,6 @@ def duck():
     import duckdb
 
     con = duckdb.connect()
-    for t in TABLES:
+    for t in [*TABLES, "documents"]:  # the document operators' table, for their entries with SQL
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     return con
